@@ -56,3 +56,19 @@ select doc_id, count(*)::bigint as n_lines,
   sha256(coalesce(string_agg(line, chr(10) order by i) filter (where owner is null or owner = doc_id), '')) as kept_sha256
 from lines left join repeated using (key) group by doc_id
 """
+
+ORACLES["op7_minhash_near_dedup"] = r"""
+with recursive words as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as ws from documents),
+sets as (
+  select doc_id, case when len(ws) < 2 then ws else list_distinct([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) end as sh from words),
+entries as (select doc_id, len(sh) as n, unnest(sh) as s from sets),
+pairs as (
+  select a.doc_id as x, b.doc_id as y from entries a join entries b on a.s = b.s and a.doc_id < b.doc_id and 5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+links as (select x, y from pairs union select y, x from pairs),
+reach as (select x, y from links union select r.x, l.y from reach r join links l on r.y = l.x),
+least as (select x, min(y) as y from reach group by x)
+select doc_id, len(sh)::bigint as n_shingles, least(doc_id, coalesce(y, doc_id)) as component_id, doc_id <= coalesce(y, doc_id) as kept
+from sets left join least on doc_id = x
+"""
