@@ -79,20 +79,20 @@ def paths(messages: DataFrame, best: int | None = None) -> DataFrame:
     # up: the ancestor at distance 2^k, null beyond the root; total and steps: of the 2^k messages from here on
     at = (nodes.withColumnRenamed("parent", "up").join(known, ["tree", "up"], "left_semi")
           .unionByName(nodes.join(known, (nodes["tree"] == known["tree"]) & (nodes["parent"] == known["up"]), "left_anti").drop("parent").withColumn("up", F.lit(None).cast(nodes.schema["parent"].dataType))))
-    at = cut(at.withColumn("steps", F.lit(1).cast("long")), "reply-links")
+    at = cut(at.select("tree", "node", "up", "total", F.lit(1).cast("long").alias("steps")), "reply-links")
     leaves = at.select("tree", "node").join(at.select("tree", F.col("up").alias("node")).where("node is not null").distinct(), ["tree", "node"], "left_anti")
-    jumps = []
-    n = at.count()
-    while True:
-        jumps.append(at.where("up is not null").select("tree", "node", "up"))
-        # paths of more than n messages are cycles
-        if 2 ** len(jumps) > 2 * n or not at.where("up is not null").limit(1).count():
-            break
-        over = at.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("steps").alias("further"))
-        at = cut(at.join(over, ["tree", "up"], "left").select(
-            "tree", "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
-            (F.col("steps") + F.coalesce("further", F.lit(0))).alias("steps")), f"reply-jumps{len(jumps)}")
-    ranked = leaves.join(at.where("up is null"), ["tree", "node"]).select("tree", F.col("node").alias("leaf"), (F.col("total") / F.col("steps")).alias("score"), "steps")
+    # Nodes that have reached their root take no further part as the left side of a join.
+    ended, going, jumps = at.where("up is null"), at.where("up is not null"), []
+    most = 2 * at.count()
+    # paths of more messages than there are belong to cycles
+    while 2 ** len(jumps) <= most and going.limit(1).count():
+        jumps.append(going.select("tree", "node", "up"))
+        over = ended.unionByName(going).select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("steps").alias("further"))
+        at = cut(going.join(over, ["tree", "up"]).select(
+            "tree", "node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("steps") + F.col("further")).alias("steps")),
+            f"reply-jumps{len(jumps)}")
+        ended, going = ended.unionByName(at.where("up is null")), at.where("up is not null")
+    ranked = leaves.join(ended, ["tree", "node"]).select("tree", F.col("node").alias("leaf"), (F.col("total") / F.col("steps")).alias("score"), "steps")
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
     if best is not None:
         ranked = ranked.where(F.col("rank") <= best)
