@@ -66,3 +66,15 @@ def words(c: Column) -> Column:
 def hash128(*cs: Column) -> tuple[Column, Column]:
     """Two 64-bit hashes from independent seeds: together wide enough to stand for the value at any corpus size."""
     return F.xxhash64(F.lit(1), *cs), F.xxhash64(F.lit(2), *cs)
+
+
+#: Ids that may be broadcast to pick rows of a large table; beyond it the table is shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def pick_rows(docs: DataFrame, ids: DataFrame, id_col: str, ids_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is among ``ids``, null ids included.  A counted, small set of ids is broadcast and
+    the texts stay where they are; a larger one is hashed and the texts pass by."""
+    ids = cut(ids.select(F.col(ids_col).alias("__id")).distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
+    return docs.join(ids, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")

@@ -72,3 +72,20 @@ least as (select x, min(y) as y from reach group by x)
 select doc_id, len(sh)::bigint as n_shingles, least(doc_id, coalesce(y, doc_id)) as component_id, doc_id <= coalesce(y, doc_id) as kept
 from sets left join least on doc_id = x
 """
+
+ORACLES["op5_decontamination"] = r"""
+with d as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') as ws from documents),
+b as (select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') as ws from benchmark),
+ds as (select doc_id, len(ws) as words, [array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)] as sh from d where len(ws) >= 5),
+bs as (select item_id, len(ws) as n, [array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)] as sh from b where len(ws) >= 5),
+pair as (select distinct doc_id, item_id from (select doc_id, unnest(sh) as s from ds) join (select item_id, unnest(sh) as s from bs) using (s)),
+win as (select doc_id, item_id, n, len(bs.sh) as b_size, ds.sh as sh, unnest(range(0, greatest(0, words - n) + 1)) as start from pair join ds using (doc_id) join bs using (item_id)),
+wsh as (select doc_id, item_id, n, b_size, start, unnest(sh[start + 1:start + n - 4]) as s from win),
+wc as (select doc_id, item_id, n, b_size, start, s, count(*) as c from wsh group by all),
+ic as (select item_id, s, count(*) as c from (select item_id, unnest(sh) as s from bs) group by all),
+sim as (select wc.doc_id, wc.item_id, n, b_size, start, sum(wc.c) as a_size, sum(least(wc.c, coalesce(ic.c, 0))) as common
+  from wc left join ic on wc.item_id = ic.item_id and wc.s = ic.s group by all),
+good as (select *, common::double / (a_size + b_size - common) as similarity from sim where common::double / (a_size + b_size - common) >= 0.8 - 1e-12)
+select doc_id, item_id, start::bigint as start_word, n::bigint as n_words, round(similarity, 6) as similarity from good
+qualify row_number() over (partition by doc_id, item_id order by similarity desc, start) = 1
+"""
