@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import pick_rows
 from .textkit import map_arrow
 
 BUCKETS = 4096
@@ -130,7 +130,9 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     idf = np.log((1 + n) / (1 + np.array([counts.get(i, 0) for i in range(BUCKETS)]))) + 0.05
     share = rows.groupBy("lang").count().select("lang", (F.lit(float(SAMPLE)) / F.col("count")).alias("share"))
     luck = (F.pmod(F.xxhash64(F.lit(8), "id"), F.lit(1 << 30)) / float(1 << 30))
-    sample = rows.join(share, "lang").where(luck < F.col("share")).select("lang", "text")
+    # ids first: the texts of the sample are picked without moving any other
+    ids = rows.select("id", "lang").join(share, "lang").where(luck < F.col("share"))
+    sample = pick_rows(rows, ids, "id", "id").select("lang", "text")
     fitted = map_arrow(sample, _vectors(idf), "lang string, vec binary").groupBy("lang").applyInArrow(_fit, "lang string, center binary, reach double")
     fitted = sorted(fitted.limit(MOST_CENTROIDS + 1).collect())
     if len(fitted) > MOST_CENTROIDS:
