@@ -140,6 +140,6 @@ def contamination_report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item."""
-    found = cut(contaminated(docs, items, id_col, text_col).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct(), "contaminated")
+    found = cut(contaminated(docs, items, id_col, text_col).select(F.col("k1").alias("__vicinity_k1"), F.col("k2").alias("__vicinity_k2")).distinct(), "contaminated")
     k1, k2 = hash128(F.col(id_col), F.col(text_col))
-    return docs.join(found.hint("shuffle_hash"), (k1 == F.col("__k1")) & (k2 == F.col("__k2")), "left_anti")
+    return docs.join(found.hint("shuffle_hash"), (k1 == F.col("__vicinity_k1")) & (k2 == F.col("__vicinity_k2")), "left_anti")

@@ -97,17 +97,18 @@ def _seektable(sizes: list[int], frame_sizes: list[int]) -> bytes:
 
 def encode(payloads: list[bytes]) -> list[bytes]:
     """A FLAC stream for each payload (at least one byte each)."""
-    owner, number, size = [], [], []
-    for p, data in enumerate(payloads):
+    if not payloads:
+        return []
+    number, size = [], []
+    for data in payloads:
         if not data:
             raise FlacError("a stream has at least one sample")
         for i in range(0, len(data), BLOCK):
-            owner.append(p)
             number.append(i // BLOCK)
             size.append(min(BLOCK, len(data) - i))
     frames = _encode_frames(np.frombuffer(b"".join(payloads), np.int8), np.array(size), number)
     out, k = [], 0
-    for p, data in enumerate(payloads):
+    for data in payloads:
         n = -(-len(data) // BLOCK)
         mine = frames[k : k + n]
         lengths = [len(f) for f in mine]

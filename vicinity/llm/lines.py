@@ -71,11 +71,11 @@ def dropped_lines(keep_words: Column) -> Column:
 
 
 def with_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """``docs`` with a column ``__keep_words``.  The bitmaps are hashed, the texts only pass by: no sort of texts."""
+    """``docs`` with a column ``__vicinity_keep_words``.  The bitmaps are hashed, the texts only pass by: no sort of texts."""
     maps = keep_bitmaps(docs, id_col, text_col, **limits)
-    maps = maps.select(F.col("id").alias("__id"), F.col("text_hash").alias("__text_hash"), F.col("keep_words").alias("__keep_words"))
-    on = (F.col(id_col) == F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__text_hash"))
-    return docs.join(maps.hint("shuffle_hash"), on, "left").drop("__id", "__text_hash")
+    maps = maps.select(F.col("id").alias("__vicinity_id"), F.col("text_hash").alias("__vicinity_text_hash"), F.col("keep_words").alias("__vicinity_keep_words"))
+    on = (F.col(id_col) == F.col("__vicinity_id")) & (F.xxhash64(F.col(text_col)) == F.col("__vicinity_text_hash"))
+    return docs.join(maps.hint("shuffle_hash"), on, "left").drop("__vicinity_id", "__vicinity_text_hash")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
@@ -83,14 +83,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is left as it is, null included."""
     text = F.col(text_col)
     out = with_bitmaps(docs, id_col, text_col, **limits)
-    out = out.withColumn(text_col, F.when(F.col("__keep_words").isNull(), text).otherwise(kept_text(text, F.col("__keep_words"))))
+    out = out.withColumn(text_col, F.when(F.col("__vicinity_keep_words").isNull(), text).otherwise(kept_text(text, F.col("__vicinity_keep_words"))))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """Per document: lines, dropped lines and the digest of what stays."""
     out = with_bitmaps(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", **limits)
-    text, keep = F.col("text"), F.col("__keep_words")
+    text, keep = F.col("text"), F.col("__vicinity_keep_words")
     return out.select(
         "doc_id", F.size(line_array(text)).cast("long").alias("n_lines"), dropped_lines(keep).alias("n_dropped"),
         F.sha2(F.encode(kept_text(text, keep), "UTF-8"), 256).alias("kept_sha256"),

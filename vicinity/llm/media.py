@@ -90,7 +90,8 @@ def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
-    """Each stream of ``media`` as its PCM blocks: where a block starts in samples, and in bytes after the metadata."""
+    """Each stream of ``media`` as its PCM blocks: where a block starts in samples, and in bytes of the
+    stream."""
     kind = media.schema["doc_id"].dataType.simpleString()
     return map_arrow(media, _read_blocks, f"doc_id {kind}, n_bytes long, block long, sample_offset long, n_samples long, byte_offset long, pcm binary")
 

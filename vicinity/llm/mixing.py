@@ -104,8 +104,8 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The columns of ``docs``, each row as often as the mix takes it."""
-    copies = plan(docs, id_col, text_col, **options).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text_hash")).agg(F.max("copies").alias("__copies"))
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__text_hash"))
-    out = docs.join(copies.where("__copies > 0").hint("shuffle_hash"), on)
-    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    copies = plan(docs, id_col, text_col, **options).groupBy(F.col("doc_id").alias("__vicinity_id"), F.col("text_hash").alias("__vicinity_text_hash")).agg(F.max("copies").alias("__vicinity_copies"))
+    on = F.col(id_col).eqNullSafe(F.col("__vicinity_id")) & (F.xxhash64(F.col(text_col)) == F.col("__vicinity_text_hash"))
+    out = docs.join(copies.where("__vicinity_copies > 0").hint("shuffle_hash"), on)
+    out = out.withColumn("__vicinity_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__vicinity_copies"))))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

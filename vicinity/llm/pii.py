@@ -255,20 +255,20 @@ def pseudonym(m: Column, key: str = KEY, undo: bool = False) -> Column:
 
 
 def pseudonymize(docs: DataFrame, text_col: str = "text", key: str = KEY, undo: bool = False) -> DataFrame:
-    """``docs`` with the values in ``text_col`` replaced, and a column ``__found``: an array of (kind, pseudonym)."""
+    """``docs`` with the values in ``text_col`` replaced, and a column ``__vicinity_found``: an array of (kind, pseudonym)."""
     text = F.col(text_col)
     found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     each = lambda m: F.struct(kind_of(m).alias("kind"), m.alias("value"), pseudonym(m, key, undo).alias("made"))
-    out = docs.withColumn("__values", F.when(text.rlike(POSSIBLE), F.transform(found, each)))
+    out = docs.withColumn("__vicinity_values", F.when(text.rlike(POSSIBLE), F.transform(found, each)))
     # the pieces between the values, with each value's replacement after its piece
-    pieces = F.zip_with(F.split(text, PATTERN, -1), F.transform("__values", lambda v: F.coalesce(v["made"], v["value"])), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    out = out.withColumn(text_col, F.when(F.size("__values") > 0, F.array_join(pieces, "")).otherwise(text))
-    kept = F.transform(F.filter("__values", lambda v: v["made"].isNotNull()), lambda v: F.struct(v["kind"].alias("kind"), v["made"].alias("pseudonym")))
-    return out.withColumn("__found", F.coalesce(kept, F.array().cast("array<struct<kind:string,pseudonym:string>>"))).drop("__values")
+    pieces = F.zip_with(F.split(text, PATTERN, -1), F.transform("__vicinity_values", lambda v: F.coalesce(v["made"], v["value"])), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    out = out.withColumn(text_col, F.when(F.size("__vicinity_values") > 0, F.array_join(pieces, "")).otherwise(text))
+    kept = F.transform(F.filter("__vicinity_values", lambda v: v["made"].isNotNull()), lambda v: F.struct(v["kind"].alias("kind"), v["made"].alias("pseudonym")))
+    return out.withColumn("__vicinity_found", F.coalesce(kept, F.array().cast("array<struct<kind:string,pseudonym:string>>"))).drop("__vicinity_values")
 
 
 def pii_report(docs: DataFrame, key: str = KEY) -> DataFrame:
     """Per document its pseudonymised text, how many values were replaced, and of which kinds."""
     out = pseudonymize(docs.select("doc_id", "text"), "text", key)
-    kinds = F.array_join(F.array_sort(F.transform("__found", lambda v: v["kind"])), ",")
-    return out.select("doc_id", "text", F.size("__found").cast("long").alias("n_found"), kinds.alias("kinds"))
+    kinds = F.array_join(F.array_sort(F.transform("__vicinity_found", lambda v: v["kind"])), ",")
+    return out.select("doc_id", "text", F.size("__vicinity_found").cast("long").alias("n_found"), kinds.alias("kinds"))
