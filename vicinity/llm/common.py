@@ -29,14 +29,32 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Spark's own clean-up of a finished execution's shuffle files.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here, and a lost executor costs
-    nothing that was written.  The files go when the driver's interpreter ends."""
+    nothing that was written.  The shuffle files of the write go with it.  The table goes when ``discard`` is called or
+    the driver's interpreter ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vicinity/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and nothing will read again."""
+    for t in tables:
+        _remove(t.sparkSession, t._scratch_path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -75,6 +93,6 @@ BROADCAST_IDS = 1_000_000
 def pick_rows(docs: DataFrame, ids: DataFrame, id_col: str, ids_col: str) -> DataFrame:
     """The rows of ``docs`` whose id is among ``ids``, null ids included.  A counted, small set of ids is broadcast and
     the texts stay where they are; a larger one is hashed and the texts pass by."""
-    ids = cut(ids.select(F.col(ids_col).alias("__id")).distinct(), "ids")
+    ids = cut(ids.select(F.col(ids_col).alias("__vicinity_id")).distinct(), "ids")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
-    return docs.join(ids, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    return docs.join(ids, F.col(id_col).eqNullSafe(F.col("__vicinity_id")), "left_semi")

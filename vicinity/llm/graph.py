@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -23,6 +23,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         step = cut(labels.join(near, "node").select("node", F.least("component", "least").alias("next"), F.col("component").alias("was")), "labels")
         up = step.select(F.col("node").alias("next"), F.col("next").alias("up"))
         labels = cut(step.join(up, "next").select("node", F.least("next", "up").alias("component"), "was"), "labels")
+        discard(step)
         if not labels.where("component <> was").limit(1).count():
             return labels.select("node", "component")
         labels = labels.select("node", "component")

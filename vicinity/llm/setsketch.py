@@ -10,8 +10,9 @@ Documents with equal sets become one class first, so thousands of copies count o
 register bands (32 bands of 4; a pair at similarity 0.8 meets with probability 1 - 5e-8).  Each bucket first compares
 every member with one pivot.  A pair goes on if the joint likelihood of its register differences, with both set sizes
 known, has its maximum at 0.8 less six standard errors at least; it is then confirmed on the full sets.  Buckets whose
-members lie in one component by then are done.  The others compare all members across components in blocks of 128, so no
-bucket is ever held in one task and none is capped.
+members lie in one component by then are done.  In the others, all members meet those outside the bucket's largest
+component, in blocks of 512 by 512, on their full sets; each block returns a spanning forest of its links.  So no bucket
+is ever held in one task, none is capped, and no group's pairs are listed.
 
 Defined results: a text without words has an empty set and links with nothing; repeated rows are copies; ids may be
 null (such a row can be linked but never names its component unless all in it are null).
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard, pick_rows
 from .graph import components
 from .textkit import GOLDEN, map_arrow, mix64, shingle_set
 
@@ -36,7 +37,10 @@ BANDS = 32
 BASE = 1.001
 RATE = 20.0
 TOP = 2**16 - 2
-BLOCK = 128
+#: Members of a bucket that meet in one task, on either side.
+BLOCK = 512
+#: Shingles that are counted in one matrix product.
+COLUMNS = 1 << 14
 #: Shingles sketched together; keeps a worker's arrays within a few megabytes.
 CHUNK = 1 << 18
 
@@ -121,26 +125,45 @@ def _likely(threshold: float):
     return run
 
 
-def _block_pairs(threshold: float):
-    """Pairs within one block pair of one bucket: all members across its two blocks and different components."""
-    low = _lowest(threshold)
+def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all left with all right sets, by products of incidence matrices."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    for at in range(0, len(common), COLUMNS):
+        part = common[at : at + COLUMNS]
+        sides = []
+        for sets in (left, right):
+            item, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            place = np.minimum(np.searchsorted(part, item), len(part) - 1)
+            hit = part[place] == item
+            m = np.zeros((len(sets), len(part)), np.float32)
+            m[owner[hit], place[hit]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _block_links(percent: int):
+    """Links between the two sides of one block pair of a bucket, across components: a spanning forest of them."""
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        fp, comp, block = (t.column(c).to_pylist() for c in ("fp", "component", "block"))
-        n = t.column("n").to_numpy().astype(float)
-        regs = np.array([np.frombuffer(x, np.uint16) for x in t.column("regs").to_pylist()]).reshape(-1, REGISTERS)
-        block, comp = np.array(block), np.unique(np.array([c.hex() for c in comp]), return_inverse=True)[1]
-        out_a, out_b = [], []
-        rows = np.flatnonzero(block == i)
-        for x in rows:
-            y = np.flatnonzero((block == j) & (comp != comp[x]) & (np.minimum(n, n[x]) >= threshold * np.maximum(n, n[x]) - 1e-6))
-            y = y[y > x] if i == j else y
-            if len(y):
-                near = y[likeliest(np.broadcast_to(regs[x], (len(y), REGISTERS)), regs[y], np.full(len(y), n[x]), n[y]) >= low]
-                out_a += [min(fp[x], fp[k]) for k in near]
-                out_b += [max(fp[x], fp[k]) for k in near]
-        return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
+        fp = t.column("fp").to_pylist()
+        label = np.unique(np.array([c.hex() for c in t.column("component").to_pylist()]), return_inverse=True)[1]
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set")]
+        n = np.array([len(x) for x in sets], float)
+        minor = t.column("minor_side").to_numpy(zero_copy_only=False)
+        left, right = np.flatnonzero(~minor), np.flatnonzero(minor)
+        out = []
+        if len(left) and len(right):
+            both = _intersections([sets[i] for i in left], [sets[i] for i in right])
+            linked = (100 * both >= percent * (n[left][:, None] + n[right][None] - both)) & (label[left][:, None] != label[right][None])
+            for x, y in zip(*np.nonzero(linked)):
+                a, b = left[x], right[y]
+                if label[a] != label[b]:
+                    out.append((min(fp[a], fp[b]), max(fp[a], fp[b])))
+                    label[label == label[b]] = label[a]
+        a, b = zip(*out) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return run
 
@@ -167,17 +190,23 @@ def _confirmed(percent: int):
     return run
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are as similar as asked.  Texts of involved classes only are turned to sets."""
-    involved = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    ids = classes.join(involved, "fp", "left_semi").select(F.col("first_id").alias("doc_id")).distinct()
-    texts = docs.join(ids.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
+def _full_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """(fp, set) of the classes in ``wanted``: only their first texts are read."""
+    wanted = cut(wanted.distinct(), "wanted-classes")
+    texts = pick_rows(docs, classes.join(wanted, "fp", "left_semi"), "doc_id", "first_id").select("text")
     sets = map_arrow(texts, _set_rows(size), "fp binary, set binary")
-    sets = cut(sets.join(involved, "fp", "left_semi").dropDuplicates(["fp"]), "shingle-sets")
+    return cut(sets.join(wanted, "fp", "left_semi").dropDuplicates(["fp"]), "shingle-sets")
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are as similar as asked."""
+    sets = _full_sets(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))), docs, classes, size)
     left = sets.select(F.col("fp").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("fp").alias("b"), F.col("set").alias("set_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
-    return map_arrow(both, _confirmed(percent), "a binary, b binary")
+    links = cut(map_arrow(both, _confirmed(percent), "a binary, b binary"), "links")
+    discard(sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = 80) -> DataFrame:
@@ -194,39 +223,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nameless = sketch.where("doc_id is null").join(classes.where("first_id is null"), "fp", "left_semi")
     first = first.unionByName(nameless).dropDuplicates(["fp"]).select("fp", "n", "regs", "bands")
     first = cut(first, "class-sketches")
+    brief = cut(sketch.select("doc_id", "n", "fp"), "documents")
+    discard(sketch)
     regs = first.select("fp", "n", "regs")
     entries = first.select("fp", F.explode("bands").alias("band"))
     buckets = cut(entries.groupBy("band").agg(F.count("*").alias("members"), F.min("fp").alias("pivot")).where("members > 1"), "buckets")
     crowded = cut(entries.join(buckets, "band").select("band", "fp", "members", "pivot"), "bucket-members")
 
-    starred = cut(crowded.where("fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct(), "pivot-pairs")
     side = lambda c: regs.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
+
+    starred = cut(crowded.where("fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct(), "pivot-pairs")
     joined = starred.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
     likely = cut(map_arrow(joined, _likely(threshold), "a binary, b binary"), "likely-pairs")
-    links = cut(_confirm(likely, docs, classes, size, percent), "links")
-
+    links = _confirm(likely, docs, classes, size, percent)
     linked = components(links, "a", "b")
-    # Buckets that still hold different components: a pair there was never compared unless it was with the pivot.
-    now = crowded.where("members > 2").join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    now = cut(now, "bucket-components")
-    open_ = cut(now.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band"), "open-buckets")
+
+    # In a bucket of two, the pair was compared; in others, those with the pivot only.
+    members = crowded.where("members > 2").join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    members = cut(members.select("band", "fp", "members", "component"), "bucket-components")
+    parts = members.groupBy("band", "component").agg(F.count("*").alias("n"))
+    largest = F.max(F.struct("n", "component"))["component"]
+    open_ = parts.groupBy("band").agg(largest.alias("major"), F.sum("n").alias("members"), F.count("*").alias("parts"), F.max("n").alias("most")).where("parts > 1")
+    open_ = cut(open_.select("band", "major", (F.col("members") - F.col("most")).alias("minors")), "open-buckets")
     if open_.limit(1).count():
-        blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-        rows = now.join(open_, "band", "left_semi").join(regs, "fp").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "component", "n", "regs", "block")
-        found = rows.groupBy("band", "i", "j").applyInArrow(_block_pairs(threshold), "a binary, b binary").distinct()
-        found = cut(found.join(starred, ["a", "b"], "left_anti"), "block-pairs")
-        if found.limit(1).count():
-            more = cut(_confirm(found, docs, classes, size, percent), "links")
-            links = links.unionByName(more)
-            linked = components(links, "a", "b")
+        members = cut(members.join(open_, "band"), "open-members")
+        sets = _full_sets(members.select("fp"), docs, classes, size)
+        blocks, minor_blocks = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("members", "minors"))
+        place = lambda n: F.pmod(F.xxhash64("fp"), n).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        minor = F.col("component") != F.col("major")
+        left = members.select("*", place(blocks).alias("i"), every(minor_blocks).alias("j"), F.lit(False).alias("minor_side"))
+        right = members.where(minor).select("*", every(blocks).alias("i"), place(minor_blocks).alias("j"), F.lit(True).alias("minor_side"))
+        rows = left.unionByName(right).select("band", "i", "j", "fp", "component", "minor_side").join(sets, "fp")
+        found = cut(rows.groupBy("band", "i", "j").applyInArrow(_block_links(percent), "a binary, b binary").distinct(), "block-links")
+        discard(sets, members)
+        links = links.unionByName(found)
+        linked = components(links, "a", "b")
 
     named = classes.join(linked.withColumnRenamed("node", "fp"), "fp")
     names = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     names = cut(linked.join(names, "component").select(F.col("node").alias("fp"), "component_id"), "component-names")
     of_class = cut(classes.join(names, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("class_component")), "class-components")
-    out = sketch.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(of_class, "fp", "left")
+    out = brief.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(of_class, "fp", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("class_component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", "fp", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -235,8 +273,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The columns of ``docs``: of each component the document with the smallest id; every text without words stays."""
     found = near_duplicates(docs, id_col, text_col, size, percent)
     found = cut(found.select("doc_id", "fp", "n_shingles", "kept"), "near-dedup")
-    kept = found.where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    out = docs.join(kept.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    kept = found.where("kept").select(F.col("doc_id").alias("__vicinity_id")).distinct()
+    out = docs.join(kept.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__vicinity_id")), "left_semi")
     if found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").limit(1).count():
         out = out.dropDuplicates([id_col])
     return out
