@@ -1,15 +1,15 @@
-"""What the operators share: reading tables, scratch tables in the shared folder, words and hashes as expressions."""
+"""What the operators share: reading tables, scratch tables, words and hashes as expressions."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vicinity.scratch import discard
+from vicinity.scratch import written as cut
+
+__all__ = ["BLANKS", "BLANK_CLASS", "ascii_lower", "cut", "discard", "hash128", "pick_rows", "strip_blanks", "table", "words"]
+
 #: White space of the word contract, as a trim set and as a character class.
 BLANKS = "\t\n\x0b\x0c\r "
 BLANK_CLASS = r"[\x20\x09-\x0D]"
@@ -20,52 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = os.path.join(tempfile.gettempdir(), "vicinity-shared")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-#: Spark's own clean-up of a finished execution's shuffle files.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here, and a lost executor costs
-    nothing that was written.  The shuffle files of the write go with it.  The table goes when ``discard`` is called or
-    the driver's interpreter ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vicinity/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    atexit.register(_remove, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``cut`` wrote and nothing will read again."""
-    for t in tables:
-        _remove(t.sparkSession, t._scratch_path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session has ended before us: nothing is left to ask
-        pass
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else.  ``lower`` does the same, faster, where every character is one byte."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
