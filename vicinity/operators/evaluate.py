@@ -5,7 +5,7 @@ Results are (query_id, rank, row_id, cosine) with ranks from 1; ``truth`` is the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinity.operators.exact import exclude_self
@@ -31,6 +31,11 @@ def recall(found: DataFrame, truth: DataFrame, cutoff: int, without_self: bool =
     return each.groupBy("cutoff").agg(F.avg("share").alias("recall"), F.stddev_samp("share").alias("deviation"), F.count("*").alias("queries"))
 
 
+def list_recall(found: Column, truth: Column, cutoff: int) -> Column:
+    """The same share for two arrays of ids in the order of their ranks."""
+    return F.size(F.array_intersect(F.slice(found, 1, cutoff), F.slice(truth, 1, cutoff))) / float(cutoff)
+
+
 def label_accuracy(found: DataFrame, labels: DataFrame, rank: int = 1, without_self: bool = True) -> DataFrame:
     """(queries, missing, accuracy, neighbours): how often the neighbour at ``rank`` has the query's label, among the
     queries that have one.  ``labels`` is (row_id, label); all of its rows count as queries."""

@@ -106,7 +106,7 @@ class Index:
         """(query_id, row_id) left after pruning, for queries as ``self.queries`` gives them."""
         queries = written(queries, "queries")
         spots = forest.visited_leaves(self.trees, linear.project(queries, self.vt), self.conf.directions, self.conf.forest, self.shards, required, greedy)
-        votes = spots.join(self.leaves, ["shard", "tree", "leaf"]).select("query_id", F.explode("row_ids").alias("row_id")).groupBy("query_id", "row_id").agg(F.count("*").alias("votes"))
+        votes = count_votes(spots.join(self.leaves, ["shard", "tree", "leaf"]).select("query_id", F.explode("row_ids").alias("row_id")))
         query_sig = linear.with_signatures(queries, self.signs).select("query_id", F.col("sig").alias("query_sig"))
         counted = votes.join(self.signatures, "row_id").join(query_sig, "query_id")
         return (prune_progressive if progressive else prune_at_once)(counted, keep)
@@ -125,6 +125,12 @@ class Index:
         return self.search(self.items.select(F.col("row_id").alias("query_id"), "vec"), k, **options)
 
 
+def count_votes(spots: DataFrame, weight_col: str | None = None) -> DataFrame:
+    """(query_id, row_id, votes[, weight]): how often a point was met in visited leaves, and the sum of their weights."""
+    more = [F.sum(weight_col).alias("weight")] if weight_col else []
+    return spots.groupBy("query_id", "row_id").agg(F.count("*").alias("votes"), *more)
+
+
 def prune_progressive(counted: DataFrame, keep: int = CANDIDATES) -> DataFrame:
     """Rounds of signature words for each query's candidates (query_id, row_id, votes, sig, query_sig), which number
     about trees * required points."""

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinity.functions import kernels, native
@@ -124,3 +124,9 @@ def signed_moments(items: DataFrame, vec_col: str = "vec") -> DataFrame:
     x = F.col("x")
     return items.select(F.posexplode(vec_col).alias("i", "x")).groupBy("i").agg(
         F.count("x").alias("n"), F.avg("x").alias("mean"), F.sum(F.when(x > 0, x * x).otherwise(0.0)).alias("positive"), F.sum(F.when(x > 0, 0.0).otherwise(x * x)).alias("negative"))
+
+
+def dump_matrix(spark: SparkSession, matrix: np.ndarray, path: str) -> None:
+    """A small matrix as text: a line per row, its number first, tabs between."""
+    lines = [("\t".join([str(i), *(repr(float(x)) for x in row)]),) for i, row in enumerate(matrix)]
+    spark.createDataFrame(lines, "value string").coalesce(1).write.text(path)

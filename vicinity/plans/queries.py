@@ -126,6 +126,31 @@ def s7_index_save_open(spark, d):
     return opened.brute_force(asked(opened.items), 5).select("query_id", F.col("rank").cast("long").alias("rank"), "row_id", r6("cosine").alias("cosine"))
 
 
+@query("select 'items' as name, count(*)::bigint as n from embeddings union all select 'signatures', count(*)::bigint from embeddings")
+def s6_index_tables(spark, d):
+    path = scratch_path(spark, "index")
+    index.Index.build(items(spark, d), index.IndexConf(trees=2)).save(path)
+    tables = [spark.read.parquet(f"{path}/{t}").agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t in ("items", "signatures")]
+    return tables[0].unionByName(tables[1])
+
+
+@query("select 'refused' as first, 10::bigint as n")
+def s8_prepare_target(spark, d):
+    """A folder that holds an index is not written over unless asked; then it is replaced as a whole."""
+    from pyspark.errors import AnalysisException
+
+    path = scratch_path(spark, "index")
+    ix = index.Index.build(items(spark, d), index.IndexConf(trees=0))
+    ix.save(path)
+    try:
+        ix.save(path)
+        first = "written"
+    except AnalysisException:
+        first = "refused"
+    index.Index.build(items(spark, d).where("row_id < 10"), index.IndexConf(trees=0)).save(path, overwrite=True)
+    return spark.read.parquet(f"{path}/items").agg(F.count("*").alias("n")).select(F.lit(first).alias("first"), "n")
+
+
 @query(f"with {ITEMS}, out as (select row_id, vec as v from items) {UNPOS}")
 def s9_full_scan(spark, d):
     return exploded(items(spark, d), F.col("vec"), "row_id")
@@ -183,6 +208,15 @@ def s15_dump_labels(spark, d):
     return out.withColumn("rank", F.col("rank").cast("int")).withColumn("cosine", r6("cosine"))
 
 
+@query()
+def s16_dump_directions(spark, d):
+    gram, n = linear.gram_matrix(items(spark, d))
+    path = scratch_path(spark, "directions")
+    linear.dump_matrix(spark, linear.leading_directions(gram, n, 4)[1], path)
+    t = F.split("value", "\t")
+    return spark.read.text(path).select(t[0].cast("int").alias("row"), F.size(t).alias("columns"), r6(t[1].cast("double")).alias("first"))
+
+
 @query("select vec_id::varchar || '_' || label as name, label, 4::bigint as dim, round(list_sum(embedding[1:4]::double[]), 6) as total from embeddings")
 def s22_text_parsers(spark, d):
     e = raw(spark, d)
@@ -348,6 +382,26 @@ def v22_estimated_cosine(spark, d):
     return p.select(F.col("p_partkey").alias("id"), r6(native.estimated_cosine(F.col("p_partkey") % 1025, 1024)).alias("cosine"))
 
 
+@query()
+def v24_bf16_search(spark, d):
+    """Scores of vectors that went through 16-bit storage, against the exact ones."""
+    it = items(spark, d)
+    def run(batches):
+        for b in batches:
+            yield b[["row_id"]].assign(stored=[kernels.from_bf16(kernels.to_bf16(np.array(v))).tolist() for v in b["vec"]])
+
+    stored = it.select("row_id", "vec").mapInPandas(run, "row_id long, stored array<double>")
+    q = asked(it).withColumnRenamed("vec", "query_vec")
+    both = stored.join(F.broadcast(q), F.lit(True)).join(it.select("row_id", "vec"), "row_id")
+    error = F.abs(native.cosine_of_unit(F.col("query_vec"), F.col("stored")) - native.cosine_of_unit(F.col("query_vec"), F.col("vec")))
+    return both.groupBy("query_id").agg((F.max(error) < 0.01).alias("close"))
+
+
+@query()
+def v28_random_signs(spark, d):
+    return spark.createDataFrame([(i, round(float(x), 6)) for i, x in enumerate(kernels.random_signs(DIM, "example"))], "i int, value double")
+
+
 @query("select vec_id as row_id, sign(embedding[1])::int as sign, abs(embedding[1]::double) > 0.125 as significant from embeddings")
 def v23_signs(spark, d):
     x = F.get("vec", 0)
@@ -450,6 +504,13 @@ def a11_slack_threshold(spark, d):
     return index.at_least_kth(_counts(spark, d), 100, kernels.pruning_slack(256)).groupBy("query_id", "threshold").agg(F.count("*").alias("kept"))
 
 
+@query("select l_orderkey % 50 as query_id, l_suppkey as row_id, count(*)::bigint as votes, round(sum(l_discount), 6) as weight from lineitem group by 1, 2")
+def a9_votes(spark, d):
+    """Votes of visited leaves for points, counted and weighted."""
+    x = spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_orderkey") % 50).alias("query_id"), F.col("l_suppkey").alias("row_id"), F.col("l_discount").alias("weight"))
+    return index.count_votes(x, "weight").withColumn("weight", r6("weight"))
+
+
 def _found(spark, d, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     it = items(spark, d)
     return it, rough(it, k), exact.rank_within(exact.scored_pairs(it, asked(it)), k)
@@ -464,6 +525,24 @@ def a13_recall(spark, d):
     return evaluate.recall(found, truth, 10).select("cutoff", r6("recall").alias("recall"), r6("deviation").alias("deviation"), "queries")
 
 
+@query(f"""with {PAIRS}, {ROUGH}, a as (select query_id, list(row_id order by rank) as t from exact_other where rank <= 10 group by query_id),
+b as (select query_id, list(row_id order by rank) as f from rough_other where rank <= 10 group by query_id)
+select query_id, len(list_intersect(t, f)) / 10.0::double as share from a join b using (query_id)""")
+def a14_recall_of_lists(spark, d):
+    _, found, truth = _found(spark, d, 11)
+    lists = lambda x: texts.build(exact.exclude_self(x).where("rank <= 10").select(F.col("query_id").alias("query"), "rank", F.col("row_id").alias("name"), F.lit(-1).alias("label"), "cosine"))
+    both = lists(truth).select("query", F.col("neighbours.name").alias("t")).join(lists(found).select("query", F.col("neighbours.name").alias("f")), "query")
+    return both.select(F.col("query").alias("query_id"), evaluate.list_recall(F.col("f"), F.col("t"), 10).alias("share"))
+
+
+@query(f"""with {PAIRS}, {ROUGH} select (q.label = o.label) as agree, count(*)::bigint as n from exact_other x join items q on q.row_id = x.query_id join items o on o.row_id = x.row_id where rank = 1 group by 1""")
+def a19_nearest_label_agreement(spark, d):
+    it, _, truth = _found(spark, d, 2)
+    best = exact.exclude_self(truth).where("rank = 1")
+    mine, other = it.select(F.col("row_id").alias("query_id"), F.col("label").alias("a")), it.select("row_id", F.col("label").alias("b"))
+    return best.join(mine, "query_id").join(other, "row_id").groupBy((F.col("a") == F.col("b")).alias("agree")).agg(F.count("*").alias("n"))
+
+
 @query(f"""with {PAIRS}, {ROUGH} select (select count(*) from items)::bigint as queries, ((select count(*) from items) - count(*))::bigint as missing,
 round(avg((q.label = o.label)::int), 6) as accuracy, round(10.0 * count(*) / (select count(*) from items), 6) as neighbours
 from exact_other x join items q on q.row_id = x.query_id join items o on o.row_id = x.row_id where rank = 1""")
@@ -526,6 +605,18 @@ def k3_final_sort(spark, d):
     return exact.rank_within(o, 2**31 - 1).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query()
+def k5_chosen_columns(spark, d):
+    r = kernels.rng("columns", 1)
+    return spark.createDataFrame([(i, int(c)) for i, c in enumerate(np.sort(r.permutation(32)[: kernels.SPLIT]))], "i int, column int")
+
+
+@query()
+def k7_random_queries(spark, d):
+    it = items(spark, d)
+    return exact.sample_ids(it, "row_id", 20).select("row_id", "label")
+
+
 @query()
 def k6_sample(spark, d):
     return exact.sample_ids(raw(spark, d).select("row_id"), "row_id", 100)
@@ -563,6 +654,44 @@ def f1_forest_leaves(spark, d):
     return _index(spark, d, trees=3).leaves.select("shard", "tree", "leaf", F.size("row_ids").cast("long").alias("n"))
 
 
+@query(f"with {PAIRS} select r.query_id, r.rank::int as rank, r.row_id::varchar as name, i.label from ranked r join items i using (row_id) where rank <= 3")
+def j5_names(spark, d):
+    it = items(spark, d)
+    out = exact.decorate(exact.rank_within(exact.scored_pairs(it, asked(it)), 3), it)
+    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "name", "label")
+
+
+@query("select 3::bigint as trees, count(*)::bigint as points, count(*)::bigint as distinct_points from embeddings")
+def f2_tree_invariants(spark, d):
+    """Every row is in exactly one leaf of each tree."""
+    leaves = _index(spark, d, trees=3).leaves.select("tree", F.explode("row_ids").alias("row_id"))
+    each = leaves.groupBy("tree").agg(F.count("*").alias("points"), F.countDistinct("row_id").alias("distinct_points"))
+    return each.groupBy("points", "distinct_points").agg(F.count("*").alias("trees"))
+
+
+@query()
+def f7_packed_trees(spark, d):
+    def run(batches):
+        for b in batches:
+            trees = [forest.Tree.unpack(x) for x in b["packed"]]
+            yield b[["shard", "tree"]].assign(nodes=[len(t.projections) for t in trees], leaves=[len(t.leaf_counts) for t in trees], same=[t.pack() == bytes(x) for t, x in zip(trees, b["packed"])])
+
+    return _index(spark, d, trees=3).trees.mapInPandas(run, "shard int, tree int, nodes long, leaves long, same boolean")
+
+
+@query()
+def f10_visited_leaves(spark, d):
+    ix = _index(spark, d, trees=3)
+    q = linear.project(asked(ix.items), ix.vt)
+    return forest.visited_leaves(ix.trees, q, ix.conf.directions, ix.conf.forest, ix.shards, index.REQUIRED_POINTS)
+
+
+@query()
+def f12_candidates(spark, d):
+    ix = _index(spark, d, trees=10)
+    return ix.candidates(ix.queries(asked(ix.items)))
+
+
 @query(f"with {_BUCKETS}, s as (select (case when o[w] > 0 then w - 1 else w + 7 end)::int as slot from p) select slot, count(*)::bigint as n from s group by slot")
 def f3_split_counts(spark, d):
     return _outputs(spark, d).select(native.bucket(F.col("o"), 8).cast("int").alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
@@ -645,3 +774,21 @@ def f19_compare_with_bruteforce(spark, d):
 def f20_signatures(spark, d):
     sig = linear.with_signatures(items(spark, d).select("row_id", "vec"), kernels.signature_signs(DIM))
     return sig.select("row_id", F.posexplode("sig").alias("pos", "word"))
+
+
+# --- streaming ---------------------------------------------------------------------------------------------------------
+
+
+@query("select count(*)::bigint as items, 64 * 16 as signature_bits, true as gram_matches from embeddings")
+def stream_ingest(spark, d):
+    """Micro-batches of raw items to stored items, signatures and a running Gram sum."""
+    from vicinity.streaming import ingest
+
+    path, source = scratch_path(spark, "stream"), scratch_path(spark, "stream-in")
+    raw(spark, d).repartition(3).write.parquet(source)
+    stream = spark.readStream.schema(raw(spark, d).schema).option("maxFilesPerTrigger", 1).parquet(source)
+    ingest.start_ingest(stream, path, DIM).awaitTermination()
+    gram, n = ingest.running_gram(spark, path)
+    once, _ = linear.gram_matrix(items(spark, d))
+    stored = ingest.stored_items(spark, path).agg(F.count("*").alias("items"), (F.max(F.size("sig")) * 64).alias("signature_bits"))
+    return stored.withColumn("gram_matches", F.lit(bool(np.allclose(gram, once))))
