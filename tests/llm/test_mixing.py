@@ -51,6 +51,17 @@ def test_targets_sizes_and_takes(spark, docs_of):
         assert abs(taken[s] - want[s]) <= largest[s] / 2 + 1
 
 
+def test_targets_of_many_uneven_sources(spark):
+    import random
+
+    r = random.Random(5)
+    for n in (1, 2, 5, 30):
+        sizes = {f"s{i:02d}": r.choice([0, 1, 7, 300, 90000]) for i in range(n)}
+        got = mixing.targets(spark.createDataFrame(list(sizes.items()), "key string, source_size long")).collect()
+        want = water_fill(sizes)
+        assert all(abs(x["target"] - want[x["key"]]) < 1e-6 * (1 + want[x["key"]]) for x in got), n
+
+
 def test_reruns_agree_whatever_the_partitions(spark, docs_of):
     a, b = docs_of(rows()), docs_of(rows()).repartition(7)
     key = lambda df: sorted(map(tuple, mixing.mix_report(df).collect()), key=repr)

@@ -38,7 +38,9 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     s = s.withColumn("before", F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     s = s.withColumn("open_weight", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
     s = s.withColumn("level", (F.lit(float(share)) * F.sum("source_size").over(every) - F.col("before")) / F.col("open_weight"))
-    level = F.min(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(every)
+    # in the order of fill; beyond the first such level the sums are of caps that are not reached
+    first = F.min(F.when(F.col("level") <= F.col("fill"), F.struct("fill", "key", "level"))).over(every)
+    level = first["level"]
     return s.withColumn("target", F.when(level.isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), level * F.col("weight")))).select("key", "source_size", "target")
 
 

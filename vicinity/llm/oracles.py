@@ -30,7 +30,7 @@ s3 as (select *,
   sum(weight) over (order by fill, source nulls last rows between current row and unbounded following) as open_weight,
   1.5::double * sum(source_size) over () as total from s2),
 s4 as (select *, (total - before) / open_weight as level from s3),
-s5 as (select *, min(case when level <= fill then level end) over () as lam from s4),
+s5 as (select *, (select level from s4 where level <= fill order by fill, source nulls last limit 1) as lam from s4),
 s6 as (select source, source_size, case when lam is null then cap else least(cap, lam * weight) end as target from s5),
 s7 as (select *, case when source_size > 0 then target / source_size else 0 end as times from s6),
 s8 as (select *, floor(times + 1e-12)::bigint as whole from s7),
