@@ -7,10 +7,13 @@ shorter than a passage, so a text of n tokens has about 2 n / MIN_TOKENS windows
 
 Two passages that are equal share the windows of all functions; at Jaccard similarity 0.8 they share each with
 probability 0.8.  Windows whose key occurs in two different texts are joined within their text by interval: stretches
-that such windows of at least ``ENOUGH`` functions cover are segments, and only segments are compared.  Under each key
-all segments meet the one of the smallest document first.  Seeds that no confirmed passage covers by then meet all
-others of their key in blocks of 64, so that no key is held in one task and none is capped.  Comparing means confirming:
-maximal stretches in which 8 of 9 tokens recur, with an exact Jaccard similarity of 0.8 on both stretches.
+that such windows of at least ``ENOUGH`` functions cover are segments, of which the parts dense in tokens that another
+segment has are kept (8 of 9, as in a passage: that loses nothing), and only they are compared.  Under each key
+the pivot is the segment of the smallest document.  A segment first meets the pivot that most of its seeds name, then
+those of the seeds that no confirmed passage covers.  Seeds that are open even then meet all others of their key, in
+blocks of 512 by 512 and by the tokens around them, so that no key is held in one task and none is capped; each block
+returns one partner of an open seed.  Confirming looks at maximal stretches of 50 words or more in which 8 of 9 tokens
+recur, and takes those whose sets of tokens have an exact Jaccard similarity of 0.8.
 
 Texts that are equal are one text until the end, so thousands of copies count once.
 
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, pick_rows
+from .common import cut, discard, pick_rows
 from .textkit import GOLDEN, lower_words, map_arrow, mix64, shingles
 
 SHINGLE = 5
@@ -37,7 +40,9 @@ MIN_TOKENS = MIN_WORDS - SHINGLE + 1
 HASHES = 4
 ENOUGH = 2
 SIMILARITY = 0.8
-BLOCK = 64
+BLOCK = 512
+#: Parts in which the spans of one text are joined before they meet.
+SALTS = 32
 #: A stretch goes on while unmatched tokens are at most one to MATCHES matched ones: two stretches of equal length with
 #: 8 of 9 tokens in common have similarity 0.8.
 MATCHES = 8
@@ -55,19 +60,21 @@ def text_key(text: str | None) -> int:
 
 def compact_windows(values: np.ndarray, least: int = MIN_TOKENS) -> list[tuple[int, int, int]]:
     """The nodes (l, c, r) of the Cartesian tree over ``values`` that span at least ``least`` positions."""
-    out, todo = [], [(0, len(values) - 1)]
+    out, todo = [], [(0, len(values))] if len(values) >= least else []
     while todo:
-        left, right = todo.pop()
-        if right - left + 1 >= least:
-            c = left + int(values[left : right + 1].argmin())
-            out.append((left, c, right))
-            todo += [(left, c - 1), (c + 1, right)]
+        left, end = todo.pop()
+        c = left + int(values[left:end].argmin())
+        out.append((left, c, end - 1))
+        if c - left >= least:
+            todo.append((left, c))
+        if end - c > least:
+            todo.append((c + 1, end))
     return out
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns: list[list] = [[] for _ in range(7)]
+        columns: list[list] = [[] for _ in range(5)]
         for text in batch.column(1).to_pylist():
             t = tokens(text)
             rows = []
@@ -77,28 +84,55 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows += [(f, *w) for w in compact_windows(values)]
                 w = np.array(rows, np.int64).reshape(-1, 4)
                 keys = mix64(t[w[:, 2]] ^ mix64((w[:, 0] + 1).astype(np.uint64) * GOLDEN)).view(np.int64) if len(w) else np.empty(0, np.int64)
-            for column, x in zip(columns, (text_key(text), len(t) + SHINGLE - 1 if len(t) else 0, keys, *(w[:, i].astype(np.int32) for i in range(4)))):
+            # two positions a long: function and c, l and r
+            for column, x in zip(columns, (text_key(text), len(t) + SHINGLE - 1 if len(t) else 0, keys, w[:, 0] << 32 | w[:, 2], w[:, 1] << 32 | w[:, 3])):
                 column.append(x)
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 4]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds)]], ["doc_id", "tk", "n_words", "key", "f", "l", "c", "r"])
-
-
-def _segments(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    """The stretches of one text that shared windows of enough functions cover, once for each seed inside."""
-    f, left, c, right, seed = (t.column(x).to_numpy() for x in ("f", "l", "c", "r", "key"))
-    cover = np.zeros(int(right.max()) + 2, np.int64)
-    for k in np.unique(f):
-        own = np.zeros(len(cover), np.int64)
-        np.add.at(own, left[f == k], 1)
-        np.add.at(own, right[f == k] + 1, -1)
-        cover += np.cumsum(own) > 0
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], cover >= ENOUGH, [0]]).astype(int)))
-    out = []
-    for s, e in zip(edge[::2], edge[1::2]):
-        if e - s >= MIN_TOKENS:
-            out += [(int(s), int(e - 1), int(k), int(x)) for k, x in zip(seed, c) if s <= x < e]
-    columns = list(zip(*sorted(set(out)))) or [(), (), (), ()]
-    return pa.table({"tk": pa.array([key[0].as_py()] * len(columns[0]), pa.int64()), **{n: pa.array(v, pa.int64()) for n, v in zip(("s", "e", "key", "c"), columns)}})
+        kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds)]], ["doc_id", "tk", "n_words", "key", "fc", "lr"])
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stretches of each text that shared windows of enough functions cover, once for each seed inside."""
+    for batch in batches:
+        out = []
+        for tk, keys, fc, lr in zip(batch.column(0).to_pylist(), *(batch.column(i) for i in (1, 2, 3))):
+            key, fc, lr = (x.values.to_numpy() for x in (keys, fc, lr))
+            f, c, left, right = fc >> 32, fc & 0xFFFFFFFF, lr >> 32, lr & 0xFFFFFFFF
+            cover = np.zeros(int(right.max()) + 2, np.int64)
+            for k in range(HASHES):
+                own = np.zeros(len(cover), np.int64)
+                np.add.at(own, left[f == k], 1)
+                np.add.at(own, right[f == k] + 1, -1)
+                cover += np.cumsum(own) > 0
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], cover >= ENOUGH, [0]]).astype(int)))
+            for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                if e - s >= MIN_TOKENS:
+                    inside = (c >= s) & (c < e)
+                    out += sorted({(tk, s, e - 1, int(k), int(x)) for k, x in zip(key[inside], c[inside])})
+        columns = list(zip(*out)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["tk", "s", "e", "key", "c"])
+
+
+def _token_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("tokens")]
+        n = [len(x) for x in parts]
+        owner = pa.array(np.repeat(np.arange(len(n)), n))
+        place = np.concatenate([np.arange(k) for k in n]) if n else np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("tk").take(owner), batch.column("s").take(owner), pa.array(place.astype(np.int32)), pa.array(np.concatenate(parts) if n else place)], ["tk", "s", "place", "token"])
+
+
+def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (tk, s, tokens, places) to the parts of the segment that are dense in the places of shared tokens."""
+    for batch in batches:
+        out = []
+        for tk, s, x, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            part = np.frombuffer(x.as_buffer(), np.uint64)
+            mask = np.zeros(len(part), bool)
+            mask[places.values.to_numpy()] = True
+            out += [(tk, s + a, s + b - 1, part[a:b].tobytes()) for a, b in dense_stretches(mask) if b - a >= MIN_TOKENS]
+        columns = list(zip(*out)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in columns[:3]], pa.array(columns[3], pa.binary())], ["tk", "s", "e", "tokens"])
 
 
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,84 +141,164 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([text_key(t) for t in texts], pa.int64()), pa.array([tokens(t).tobytes() for t in texts], pa.binary())], ["tk", "tokens"])
 
 
-def shared_stretches(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, float]]:
-    """(start in a, end, start in b, end, similarity) of the passages that two token sequences share."""
-    hit = np.isin(a, b)
+def dense_stretches(hit: np.ndarray) -> list[tuple[int, int]]:
+    """The maximal scoring stretches of a mask, where a hit scores 1 and a miss -MATCHES: disjoint, and every start and
+    end of one has a positive score.  One pass over the runs of hits."""
     edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(int)))
-    # runs of matches, joined while their balance against the gaps between stays positive
-    runs: list[list[int]] = []
-    for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
-        score = e - s
-        if runs and (runs[-1][2] - MATCHES * (s - runs[-1][1]) > 0) and score > MATCHES * (s - runs[-1][1]) * 0:
-            runs[-1] = [runs[-1][0], e, runs[-1][2] - MATCHES * (s - runs[-1][1]) + score]
-        else:
-            runs.append([s, e, score])
-    out = []
-    order = np.argsort(b, kind="stable")
-    first = b[order]
-    for s, e, _ in runs:
-        while True:  # a joined run may end in a stretch that does not pay for its gap: then its best part counts
-            if e - s < MIN_TOKENS:
-                break
-            part = a[s:e]
-            at = order[np.minimum(np.searchsorted(first, part), len(first) - 1)]
-            good = hit[s:e]
-            shift = int(np.median(at[good] - np.flatnonzero(good)))
-            near = at[good][np.abs(at[good] - np.flatnonzero(good) - shift) <= max(MIN_TOKENS, (e - s) // 4)]
-            other = b[near.min() : near.max() + 1]
-            both = len(np.intersect1d(part, other))
-            similarity = both / (len(np.unique(part)) + len(np.unique(other)) - both)
-            if similarity >= SIMILARITY:
-                if near.max() + 1 - near.min() >= MIN_TOKENS * SIMILARITY:
-                    out.append((s, e, int(near.min()), int(near.max()) + 1, float(similarity)))
-                break
-            gaps = np.flatnonzero(np.diff(np.concatenate([[True], good, [True]]).astype(int)))
-            if not len(gaps):
+    starts, ends = edge[::2].tolist(), edge[1::2].tolist()
+    out: list[list[int]] = []  # start, end, score before, score after
+    score, last = 0, 0
+    for s, e in zip(starts, ends):
+        score -= MATCHES * (s - last)
+        now, score, last = [s, e, score, score + e - s], score + e - s, e
+        while True:
+            j = len(out) - 1
+            while j >= 0 and out[j][2] >= now[2]:
+                j -= 1
+            if j < 0 or out[j][3] >= now[3]:
                 break
-            # drop the shorter end up to the nearest gap
-            head, tail = gaps[1], (e - s) - gaps[-2]
-            s, e = (s + head, e) if head <= tail else (s, e - tail)
+            now = [out[j][0], e, out[j][2], now[3]]
+            del out[j:]
+        out.append(now)
+    return [(s, e) for s, e, _, _ in out]
+
+
+def shared_stretches(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+    """(start in a, end, start in b, end, similarity) of the passages that two token sequences share.
+
+    Dense stretches of tokens of a that b has, of MIN_TOKENS or more, with the part of b around their main diagonal.
+    One that falls short of the similarity is parted where its diagonal jumps most, or else at its widest gap.
+    """
+    order = np.argsort(b, kind="stable")
+    at = order[np.minimum(np.searchsorted(b, a, sorter=order), len(b) - 1)] if len(b) else np.zeros(len(a), int)
+    hit = b[at] == a if len(b) else np.zeros(len(a), bool)
+    if hit.sum() * (MATCHES + 1) < MIN_TOKENS * MATCHES:
+        return []
+    out, todo = [], [x for x in dense_stretches(hit) if x[1] - x[0] >= MIN_TOKENS]
+    while todo:
+        s, e = todo.pop()
+        place = s + np.flatnonzero(hit[s:e])
+        if not len(place):
+            continue
+        s, e = int(place[0]), int(place[-1]) + 1
+        if e - s < MIN_TOKENS:
+            continue
+        diagonal = at[place] - place
+        shift = np.sort(diagonal)[len(diagonal) // 2]
+        near = at[place][np.abs(diagonal - shift) <= max(MIN_TOKENS, (e - s) // 4)]
+        low, high = int(near.min()), int(near.max()) + 1
+        part, other = np.unique(a[s:e]), np.unique(b[low:high])
+        both = len(np.intersect1d(part, other, assume_unique=True))
+        similarity = both / (len(part) + len(other) - both)
+        if similarity >= SIMILARITY:
+            if high - low >= MIN_TOKENS * SIMILARITY:
+                out.append((s, e, low, high, float(similarity)))
+            continue
+        jump, gap = np.abs(np.diff(diagonal)), np.diff(place)
+        if len(gap) and (jump.any() or (gap > 1).any()):
+            cut_at = int(place[int((jump if jump.any() else gap).argmax())]) + 1
+            todo += [(s, cut_at), (cut_at, e)]
     return out
 
 
+def _segment_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        part = [np.frombuffer(x.as_buffer(), np.uint64)[s : e + 1].tobytes() for x, s, e in zip(batch.column("tokens"), batch.column("s").to_pylist(), batch.column("e").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("tk"), batch.column("s"), batch.column("e"), pa.array(part, pa.binary())], ["tk", "s", "e", "tokens"])
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (tk, s, e, tk2, s2, e2, tokens, tokens2) to the passages both segments share."""
+    """Rows (tk, s, tk2, s2, tokens, tokens2) to the passages both segments share."""
     for batch in batches:
         rows = []
-        tk, s, e, tk2, s2, e2 = (batch.column(i).to_pylist() for i in range(6))
-        for i, (x, y) in enumerate(zip(batch.column(6), batch.column(7))):
-            a, b = np.frombuffer(x.as_buffer(), np.uint64)[s[i] : e[i] + 1], np.frombuffer(y.as_buffer(), np.uint64)[s2[i] : e2[i] + 1]
+        tk, s, tk2, s2 = (batch.column(i).to_pylist() for i in range(4))
+        for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
+            a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             rows += [(tk[i], s[i] + p, s[i] + q, tk2[i], s2[i] + p2, s2[i] + q2) for p, q, p2, q2, _ in shared_stretches(a, b)]
         columns = list(zip(*rows)) or [()] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["tk", "a", "b", "tk2", "a2", "b2"])
 
 
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The tokens around each seed that a passage through it can hold at least in part."""
+    """The tokens of the segment around each seed that the shortest passage through it can hold, and the seed's place."""
+    names = ["key", "i", "j", "open_side", "tk", "s", "e"]
     for batch in batches:
-        c = batch.column("c").to_pylist()
-        near = [np.frombuffer(x.as_buffer(), np.uint64)[max(0, i - MIN_TOKENS + 1) : i + MIN_TOKENS].tobytes() for x, i in zip(batch.column("tokens"), c)]
-        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in ("key", "tk", "s", "e", "open", "block", "i", "j")], pa.array(near, pa.binary())], ["key", "tk", "s", "e", "open", "block", "i", "j", "near"])
+        at = [c - s for c, s in zip(batch.column("c").to_pylist(), batch.column("s").to_pylist())]
+        near = [np.frombuffer(x.as_buffer(), np.uint64)[max(0, i - MIN_TOKENS + 1) : i + MIN_TOKENS].tobytes() for x, i in zip(batch.column("tokens"), at)]
+        place = [min(i, MIN_TOKENS - 1) for i in at]
+        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(place, pa.int64()), pa.array(near, pa.binary())], [*names, "place", "near"])
 
 
 def _block_pairs(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    """Pairs of one block pair of one key, one of them open, whose surroundings have enough tokens in common."""
-    i, j = key[1].as_py(), key[2].as_py()
-    near = [np.unique(np.frombuffer(x.as_buffer(), np.uint64)) for x in t.column("near")]
-    owner = np.repeat(np.arange(len(near)), [len(x) for x in near])
-    column = np.unique(np.concatenate(near), return_inverse=True)[1]
-    x = np.zeros((len(near), column.max() + 1), np.float32)
-    x[owner, column] = 1
-    block, is_open, tk = t.column("block").to_numpy(), t.column("open").to_numpy(zero_copy_only=False), t.column("tk").to_numpy()
-    rows, others = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    shared = x[rows] @ x[others].T
-    # of the MIN_TOKENS or more tokens of a shared passage, half at least lie on the seed's longer side
-    p, q = np.nonzero(shared >= MIN_TOKENS * SIMILARITY / 2)
-    p, q = rows[p], others[q]
-    keep = (tk[p] != tk[q]) & (is_open[p] | is_open[q]) & ((p < q) | (i != j))
-    p, q = p[keep], q[keep]
+    """For each open seed of one block pair of one key, a partner around whose seed the open one's tokens recur: 8 of 9
+    in a stretch of MIN_TOKENS with the seed."""
+    t = t.sort_by([("tk", "ascending"), ("s", "ascending")])  # rows come in any order, and the first partner counts
+    near = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("near").combine_chunks()]
+    code = np.unique(np.concatenate(near), return_inverse=True)[1]
+    ends = np.cumsum([len(x) for x in near])
+    codes = np.split(code, ends[:-1])
+    open_side, tk, place = t.column("open_side").to_numpy(zero_copy_only=False), t.column("tk").to_numpy(), t.column("place").to_numpy()
+    left = np.flatnonzero(~open_side)
+    rows: list[tuple[int, int]] = []
+    seen: dict[bytes, bool] = {}
+
+    def known(key: bytes, mask: np.ndarray) -> bool:
+        if key not in seen:
+            seen[key] = any(e - s >= MIN_TOKENS for s, e in dense_stretches(mask))
+        return seen[key]
+
+    same: dict[bytes, int] = {}
+    content = [same.setdefault(x.tobytes(), i) for i, x in enumerate(near)]
+    tested: dict[tuple[int, int], bool] = {}
+
+    def share(q: int, p: int) -> bool:
+        pair = content[q], content[p]
+        if pair not in tested:
+            tested[pair] = bool(shared_stretches(near[q], near[p]))
+        return tested[pair]
+
+    if len(left):
+        flat, owner = np.concatenate([codes[i] for i in left]), np.repeat(np.arange(len(left)), [len(codes[i]) for i in left])
+        where = np.full(int(code.max()) + 1, -1)
+        for q in np.flatnonzero(open_side):
+            own, back = np.unique(codes[q], return_inverse=True)
+            if len(codes[q]) < MIN_TOKENS:
+                continue
+            where[own] = np.arange(len(own))
+            column = where[flat]
+            where[own] = -1
+            hit = np.zeros((len(left), len(own)), bool)
+            hit[owner[column >= 0], column[column >= 0]] = True
+            total = np.concatenate([np.zeros((len(left), 1), int), np.cumsum(hit[:, back], axis=1)], axis=1)
+            first = np.arange(max(0, place[q] - MIN_TOKENS + 1), min(place[q], len(codes[q]) - MIN_TOKENS) + 1)
+            best = (total[:, first + MIN_TOKENS] - total[:, first]).max(1)
+            enough = np.flatnonzero((best * (MATCHES + 1) >= MIN_TOKENS * MATCHES) & (tk[left] != tk[q]))
+            enough = enough[np.argsort(-best[enough], kind="stable")]
+            masks = hit[enough][:, back]
+            # members of a group leave the same few masks
+            dense = [known(m.tobytes(), m) for m in masks]
+            partner = next((p for p, d in zip(left[enough], dense) if d and share(q, p)), None)
+            if partner is not None:
+                rows.append((q, partner))
+    q, p = (np.array([r[k] for r in rows], int) for k in (0, 1))
     get = lambda n, k: t.column(n).to_numpy()[k]
-    return pa.table({"tk": get("tk", p), "s": get("s", p), "e": get("e", p), "tk2": get("tk", q), "s2": get("s", q), "e2": get("e", q)})
+    return pa.table({"tk": get("tk", q), "s": get("s", q), "e": get("e", q), "tk2": get("tk", p), "s2": get("s", p), "e2": get("e", p)})
+
+
+def _joined(spans: DataFrame, *keys: str) -> DataFrame:
+    """Overlapping or touching spans (a, b, first_id) of the same keys as one, with the smallest first_id."""
+    order = Window.partitionBy(*keys).orderBy("a", "b")
+    reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("a") <= F.col("reach"), 0).otherwise(1)).over(order)
+    marked = spans.withColumn("reach", reach).withColumn("island", island)
+    return marked.groupBy(*keys, "island").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("first_id").alias("first_id")).drop("island")
+
+
+def joined_spans(spans: DataFrame) -> DataFrame:
+    """(tk, a, b, first_id) without overlaps.  A pivot has as many spans as its group has members, so they are joined in
+    parts first."""
+    parts = _joined(spans.groupBy("tk", "a", "b").agg(F.min("first_id").alias("first_id")).withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(SALTS))), "tk", "salt")
+    return _joined(parts.drop("salt"), "tk")
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,58 +306,77 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     they overlap, with the smallest id of a document known to hold part of the stretch."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    index = cut(map_arrow(docs, _windows, f"doc_id {kind}, tk long, n_words long, key array<long>, f array<int>, l array<int>, c array<int>, r array<int>"), "compact-windows")
+    index = cut(map_arrow(docs, _windows, f"doc_id {kind}, tk long, n_words long, key array<long>, fc array<long>, lr array<long>"), "compact-windows")
+    brief = cut(index.select("doc_id", "tk", "n_words"), "documents")
     shared = index.select(F.explode("key").alias("key"), "tk").groupBy("key").agg(F.min("tk").alias("low"), F.max("tk").alias("high")).where("low <> high").select("key")
     shared = cut(shared, "shared-keys")
-    each = index.select("tk", F.explode(F.arrays_zip("key", "f", "l", "c", "r")).alias("w")).select("w.key", "tk", "w.f", "w.l", "w.c", "w.r")
-    hits = each.join(shared, "key", "left_semi").distinct()
-    seeds = cut(hits.groupBy("tk").applyInArrow(_segments, "tk long, s long, e long, key long, c long"), "seeds")
-
-    texts = cut(index.where(F.col("n_words") >= MIN_WORDS).groupBy("tk").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n_words").alias("n_words")), "texts")
-    wanted = seeds.select("tk").distinct().join(texts, "tk").select("tk", "first_id")
+    each = index.select("tk", F.explode(F.arrays_zip("key", "fc", "lr")).alias("w")).select("w.key", "tk", "w.fc", "w.lr")
+    hits = cut(each.join(shared.hint("shuffle_hash"), "key", "left_semi").distinct(), "shared-windows")
+    discard(index, shared)
+    listed = hits.groupBy("tk").agg(*[F.collect_list(c).alias(c) for c in ("key", "fc", "lr")])
+    seeds = cut(map_arrow(listed, _segments, "tk long, s long, e long, key long, c long"), "seeds")
+    discard(hits)
+
+    texts = cut(brief.where(F.col("n_words") >= MIN_WORDS).groupBy("tk").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n_words").alias("n_words")), "texts")
+    segments = cut(seeds.select("tk", "s", "e").distinct(), "segments")
+    wanted = segments.select("tk").distinct().join(texts, "tk").select("tk", "first_id")
     token_rows = map_arrow(pick_rows(docs, wanted, "doc_id", "first_id").select("text"), _token_rows, "tk long, tokens binary")
-    token_rows = cut(token_rows.join(wanted.select("tk"), "tk", "left_semi").dropDuplicates(["tk"]), "tokens")
+    token_rows = token_rows.join(segments, "tk").select("tk", "s", "e", "tokens")
+    wide = cut(map_arrow(token_rows, _segment_tokens, "tk long, s long, e long, tokens binary").dropDuplicates(["tk", "s"]), "segment-tokens")
+
+    # A passage consists of tokens that another text has, 8 of 9: a line that many share does not make one.
+    places = map_arrow(wide.select("tk", "s", "tokens"), _token_places, "tk long, s long, place int, token long")
+    known = cut(places.groupBy("token").agg(F.min("tk").alias("low"), F.max("tk").alias("high")).where("low <> high").select("token"), "shared-tokens")
+    dense = places.join(known.hint("shuffle_hash"), "token", "left_semi").groupBy("tk", "s").agg(F.collect_list("place").alias("places"))
+    tokens_of = map_arrow(wide.join(dense, ["tk", "s"]).select("tk", "s", "tokens", "places"), _refined, "tk long, s long, e long, tokens binary")
+    tokens_of = cut(tokens_of, "dense-tokens")
+    # a text that repeats itself has a key many times: once is enough
+    inside = seeds.drop("s", "e").join(tokens_of.select("tk", "s", "e"), "tk").where("c between s and e").groupBy("tk", "s", "e", "key").agg(F.min("c").alias("c"))
+    discard(wide, known)
+    seeds = cut(inside, "dense-seeds")
 
     named = seeds.join(texts.select("tk", "first_id"), "tk")
     pivots = named.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("first_id", "tk", "s", "e")).alias("p")).where("n > 1")
     pivots = cut(pivots.select("key", "n", F.col("p.tk").alias("tk2"), F.col("p.s").alias("s2"), F.col("p.e").alias("e2")), "pivots")
-    pair = ["tk", "s", "e", "tk2", "s2", "e2"]
-    starred = cut(seeds.join(pivots, "key").where("tk <> tk2").select(*pair).distinct(), "pivot-pairs")
+    segment, other = ["tk", "s", "e"], ["tk2", "s2", "e2"]
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        side = token_rows.select(F.col("tk").alias("tk2"), F.col("tokens").alias("tokens2"))
-        both = pairs.join(token_rows, "tk").join(side, "tk2").select(*pair, "tokens", "tokens2")
-        return map_arrow(both, _confirm, "tk long, a long, b long, tk2 long, a2 long, b2 long")
+        side = tokens_of.select(F.col("tk").alias("tk2"), F.col("s").alias("s2"), F.col("tokens").alias("tokens2"))
+        both = pairs.join(tokens_of.drop("e"), ["tk", "s"]).join(side, ["tk2", "s2"]).select("tk", "s", "tk2", "s2", "tokens", "tokens2")
+        return cut(map_arrow(both, _confirm, "tk long, a long, b long, tk2 long, a2 long, b2 long"), "passages")
 
     def spans(found: DataFrame) -> DataFrame:
         both = found.select("tk", "a", "b", F.col("tk2").alias("other")).unionByName(found.select(F.col("tk2").alias("tk"), F.col("a2").alias("a"), F.col("b2").alias("b"), F.col("tk").alias("other")))
-        both = both.join(texts.select(F.col("tk").alias("other"), "first_id"), "other")
-        return both.groupBy("tk", "a", "b").agg(F.min("first_id").alias("first_id"))
-
-    found = cut(spans(cut(confirm(starred), "passages")), "spans")
-    # Seeds outside all confirmed passages of their text, in keys with more members than the pivot and one other.
-    crowded = seeds.join(pivots.where("n > 2").select("key", "n"), "key")
-    covered = crowded.join(found.select("tk", "a", "b"), "tk").where("c >= a and c < b").select("key", "tk", "c").distinct().withColumn("open", F.lit(False))
-    marked = cut(crowded.join(covered, ["key", "tk", "c"], "left").withColumn("open", F.coalesce("open", F.lit(True))), "marked-seeds")
-    open_keys = cut(marked.where("open").select("key").distinct(), "open-keys")
+        return both.join(texts.select(F.col("tk").alias("other"), "first_id"), "other").select("tk", "a", "b", "first_id")
+
+    def open_seeds(found: DataFrame) -> DataFrame:
+        """Seeds outside all confirmed passages of their text."""
+        covered = seeds.join(found.select("tk", "a", "b"), "tk").where("c >= a and c < b").select("tk", "key", "c").distinct()
+        return cut(seeds.join(covered, ["tk", "key", "c"], "left_anti"), "open-seeds")
+
+    votes = seeds.join(pivots, "key").where("tk <> tk2").groupBy(*segment, *other).agg(F.count("*").alias("n"))
+    best = cut(votes.groupBy(*segment).agg(F.max(F.struct("n", *other)).alias("p")).select(*segment, *[F.col(f"p.{c}").alias(c) for c in other]), "best-pivots")
+    found = cut(joined_spans(spans(confirm(best))), "spans")
+    rest = open_seeds(found)
+    others = rest.join(pivots, "key").where("tk <> tk2").select(*segment, *other).distinct().join(best, [*segment, *other], "left_anti")
+    found = cut(joined_spans(found.unionByName(spans(confirm(cut(others, "other-pivots"))))), "spans")
+
+    # Open seeds of keys with more members than the pivot and one other meet all of them.
+    rest = open_seeds(found).join(pivots.where("n > 2").select("key", "n"), "key")
+    open_keys = cut(rest.groupBy("key").agg(F.first("n").alias("n"), F.count("*").alias("open")), "open-keys")
     if open_keys.limit(1).count():
-        rows = marked.join(open_keys, "key", "left_semi").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("tk", "c"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-        rows = rows.join(token_rows, "tk").select("key", "tk", "s", "e", "c", "open", "block", "i", "j", "tokens")
-        near = map_arrow(rows, _around, "key long, tk long, s long, e long, open boolean, block int, i int, j int, near binary")
-        more = near.groupBy("key", "i", "j").applyInArrow(_block_pairs, "tk long, s long, e long, tk2 long, s2 long, e2 long").distinct()
-        more = cut(more.join(starred, pair, "left_anti"), "block-pairs")
-        if more.limit(1).count():
-            found = cut(found.unionByName(spans(cut(confirm(more), "passages"))), "spans")
+        blocks, open_blocks = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n", "open"))
+        place = lambda n: F.pmod(F.xxhash64("tk", "c"), n).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        all_ = seeds.join(open_keys, "key").select("*", place(blocks).alias("i"), every(open_blocks).alias("j"), F.lit(False).alias("open_side"))
+        mine = rest.drop("n").join(open_keys, "key").select("*", every(blocks).alias("i"), place(open_blocks).alias("j"), F.lit(True).alias("open_side"))
+        rows = cut(all_.unionByName(mine).select("key", "i", "j", "open_side", *segment, "c"), "block-seeds")
+        near = map_arrow(rows.join(tokens_of.drop("e"), ["tk", "s"]), _around, "key long, i int, j int, open_side boolean, tk long, s long, e long, place long, near binary")
+        more = cut(near.groupBy("key", "i", "j").applyInArrow(_block_pairs, "tk long, s long, e long, tk2 long, s2 long, e2 long").distinct(), "block-pairs")
+        found = cut(joined_spans(found.unionByName(spans(confirm(more)))), "spans")
 
     # Equal texts are passages as a whole.
     whole = texts.where("copies > 1").select("tk", F.lit(0).cast("long").alias("a"), (F.col("n_words") - SHINGLE + 1).alias("b"), "first_id")
-    found = found.unionByName(whole).groupBy("tk", "a", "b").agg(F.min("first_id").alias("first_id"))
-    order = Window.partitionBy("tk").orderBy("a", "b")
-    reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col("a") < F.col("reach"), 0).otherwise(1)).over(order)
-    merged = found.withColumn("reach", reach).withColumn("island", island).groupBy("tk", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("first_id").alias("first_id"))
-    merged = cut(merged.select("tk", "a", "b", "first_id"), "merged-spans")
-    return index.select("doc_id", "tk").join(merged, "tk").select(
+    found = cut(_joined(found.unionByName(whole), "tk"), "spans")
+    return brief.select("doc_id", "tk").join(found, "tk").select(
         "doc_id", F.col("a").alias("start_word"), (F.col("b") - F.col("a") + SHINGLE - 1).alias("n_words"), F.least("first_id", "doc_id").alias("first_id"))
