@@ -124,6 +124,61 @@ def test_blocks_find_what_the_pivot_does_not_share(spark, docs_of, prose):
     assert all(got[10 + 2 * k] == [(50, 140)] and got[11 + 2 * k] == [(0, 90)] for k in range(30))
 
 
+def edited_passages(prose):
+    """(passage, the same with one interior edit) of 50 to 90 words."""
+    r = random.Random(8)
+    for n in range(50, 91, 4):
+        for kind in ("change", "insert", "drop"):
+            for at in (n // 2, r.randrange(8, n - 8)):
+                w = prose(5000 + n, n).split()
+                yield w, w[:at] + ([] if kind == "drop" else ["changed"]) + w[at + (kind != "insert"):]
+
+
+def brute_force(a, b, least=passages.MIN_TOKENS):
+    """Positions of a in windows that start and end with a shared token and have similarity 0.8 with such a window of b."""
+    same = np.pad(np.cumsum(np.cumsum(a[:, None] == b[None], 0), 1), ((1, 0), (1, 0)))
+    windows = lambda x, y: [(i, j) for i in range(len(x)) for j in range(i + least, len(x) + 1) if {x[i], x[j - 1]} <= set(y.tolist())]
+    other, out = np.array(windows(b, a)).reshape(-1, 2), set()
+    for i, j in windows(a, b) if len(other) else ():
+        both = same[j][other[:, 1]] - same[j][other[:, 0]] - same[i][other[:, 1]] + same[i][other[:, 0]]
+        if (both >= 0.8 * (j - i + other[:, 1] - other[:, 0] - both)).any():
+            out |= set(range(i, j))
+    return out
+
+
+def test_edited_passages_match_brute_force(prose):
+    missed_before = 0
+    for k, (w, v) in enumerate(edited_passages(prose)):
+        a = passages.tokens(" ".join([prose(k, 25), *w, prose(k + 100, 25)]))
+        b = passages.tokens(" ".join([prose(k + 200, 31), *v, prose(k + 300, 20)]))
+        for x, y in ((a, b), (b, a)):
+            found = passages.shared_stretches(x, y)
+            got = {i for s, e, *_ in found for i in range(s, e)}
+            want = brute_force(x, y)
+            assert got >= want
+            if got != want:  # the other side may be shorter than a passage
+                assert got == brute_force(x, y, int(passages.MIN_TOKENS * passages.SIMILARITY)) and got
+            assert all(len(set(x[s:e]) & set(y[p:q])) >= 0.8 * len(set(x[s:e]) | set(y[p:q])) for s, e, p, q, _ in found)
+            hit = np.isin(x, y)
+            assert all(any(s <= i < e for s, e in passages.recurring_stretches(hit)) for i in got)
+            missed_before += bool(want) and all(e - s < passages.MIN_TOKENS for s, e in passages.dense_stretches(hit))
+    assert missed_before > 20
+
+
+def test_edited_passages_are_found_in_documents(spark, docs_of, prose):
+    rows, want = [], {}
+    for k, (w, v) in enumerate(edited_passages(prose)):
+        x, y = " ".join([prose(6000 + k, 60), *w, prose(6100 + k, 60)]), " ".join([prose(6200 + k, 70), *v, prose(6300 + k, 50)])
+        rows += [(2 * k, x), (2 * k + 1, y)]
+        a, b = passages.tokens(x), passages.tokens(y)
+        if brute_force(a, b):
+            want[2 * k], want[2 * k + 1] = (brute_force(*p) for p in ((a, b), (b, a)))
+    got = spans(docs_of(rows))
+    covered = {d: {i for s, e in x for i in range(s, e - passages.SHINGLE + 1)} for d, x in got.items()}
+    found = [d for d in want if covered.get(d, set()) >= want[d]]
+    assert len(want) > 80 and len(found) >= 0.95 * len(want)
+
+
 def test_compact_windows_cover_every_subsequence_once():
     v = np.random.default_rng(0).permutation(60)
     w = passages.compact_windows(v, 10)

@@ -8,7 +8,8 @@ shorter than a passage, so a text of n tokens has about 2 n / MIN_TOKENS windows
 Two passages that are equal share the windows of all functions; at Jaccard similarity 0.8 they share each with
 probability 0.8.  Windows whose key occurs in two different texts are joined within their text by interval: stretches
 that such windows of at least ``ENOUGH`` functions cover are segments, of which the parts dense in tokens that another
-segment has are kept (8 of 9, as in a passage: that loses nothing), and only they are compared.  Under each key
+segment has are kept (every window of a passage's length with 4 of 5, the least that either side of a passage can have,
+whatever the other's length), and only they are compared.  Under each key
 the pivot is the segment of the smallest document.  A segment first meets the pivot that most of its seeds name, then
 those of the seeds that no confirmed passage covers.  Seeds that are open even then meet all others of their key, in
 blocks of 512 by 512 and by the tokens around them, so that no key is held in one task and none is capped; each block
@@ -46,6 +47,8 @@ SALTS = 32
 #: A stretch goes on while unmatched tokens are at most one to MATCHES matched ones: two stretches of equal length with
 #: 8 of 9 tokens in common have similarity 0.8.
 MATCHES = 8
+#: The same for stretches of any two lengths: similarity 0.8 takes 4 of 5 tokens of the longer one.
+LEAST_MATCHES = 4
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -130,7 +133,7 @@ def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = np.frombuffer(x.as_buffer(), np.uint64)
             mask = np.zeros(len(part), bool)
             mask[places.values.to_numpy()] = True
-            out += [(tk, s + a, s + b - 1, part[a:b].tobytes()) for a, b in dense_stretches(mask) if b - a >= MIN_TOKENS]
+            out += [(tk, s + a, s + b - 1, part[a:b].tobytes()) for a, b in recurring_stretches(mask)]
         columns = list(zip(*out)) or [()] * 4
         yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in columns[:3]], pa.array(columns[3], pa.binary())], ["tk", "s", "e", "tokens"])
 
@@ -163,20 +166,58 @@ def dense_stretches(hit: np.ndarray) -> list[tuple[int, int]]:
     return [(s, e) for s, e, _, _ in out]
 
 
+def recurring_stretches(hit: np.ndarray) -> list[tuple[int, int]]:
+    """What the windows of MIN_TOKENS or more with LEAST_MATCHES hits to a miss cover, joined: each window reaches to the
+    last place where the score is what it was at its start."""
+    score = np.concatenate([[0], np.cumsum(np.where(hit, 1, -LEAST_MATCHES))])
+    after = np.maximum.accumulate(score[::-1])[::-1]
+    reach = np.searchsorted(-after, -score, side="right") - 1
+    start = np.flatnonzero(reach - np.arange(len(score)) >= MIN_TOKENS)
+    if not len(start):
+        return []
+    reach = np.maximum.accumulate(reach[start])
+    first = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]]))
+    return list(zip(start[first].tolist(), reach[np.append(first[1:] - 1, len(start) - 1)].tolist()))
+
+
+def _similarity(a: np.ndarray, b: np.ndarray) -> float:
+    a, b = np.unique(a), np.unique(b)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def _between_runs(a: np.ndarray, b: np.ndarray, place: np.ndarray, other: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+    """The longest passages from the start of one run of matched tokens to the end of another, for each start.  Tokens
+    ``place`` of a are ``other`` in b."""
+    edge = np.flatnonzero((np.diff(place) != 1) | (np.diff(other) != 1)) + 1
+    first, last = np.concatenate([[0], edge]), np.concatenate([edge, [len(place)]]) - 1
+    out, reached = [], 0
+    for i in first:
+        n, m, hits = place[last] + 1 - place[i], other[last] + 1 - other[i], last + 1 - i
+        fits = (n >= MIN_TOKENS) & (m >= MIN_TOKENS * SIMILARITY) & (place[last] >= reached) & (hits >= SIMILARITY * (n + m - hits))
+        for j in last[fits][::-1]:
+            s, e, low, high = int(place[i]), int(place[j]) + 1, int(other[i]), int(other[j]) + 1
+            similarity = _similarity(a[s:e], b[low:high])
+            if similarity >= SIMILARITY:
+                out.append((s, e, low, high, similarity))
+                reached = e
+                break
+    return out
+
+
 def shared_stretches(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, float]]:
     """(start in a, end, start in b, end, similarity) of the passages that two token sequences share.
 
-    Dense stretches of tokens of a that b has, of MIN_TOKENS or more, with the part of b around their main diagonal.
-    One that falls short of the similarity is parted where its diagonal jumps most, or else at its widest gap.
+    Stretches of tokens of a that b has, of MIN_TOKENS or more, with the part of b around their main diagonal.  In one
+    that falls short of the similarity, all pairs of a first and a last run of matches are tried, and its dense stretches,
+    which are parted where their diagonal jumps most, or else at the widest gap.
     """
     order = np.argsort(b, kind="stable")
     at = order[np.minimum(np.searchsorted(b, a, sorter=order), len(b) - 1)] if len(b) else np.zeros(len(a), int)
     hit = b[at] == a if len(b) else np.zeros(len(a), bool)
-    if hit.sum() * (MATCHES + 1) < MIN_TOKENS * MATCHES:
-        return []
-    out, todo = [], [x for x in dense_stretches(hit) if x[1] - x[0] >= MIN_TOKENS]
+    out, todo = [], [(*x, True) for x in recurring_stretches(hit)]
     while todo:
-        s, e = todo.pop()
+        s, e, outer = todo.pop()
         place = s + np.flatnonzero(hit[s:e])
         if not len(place):
             continue
@@ -187,17 +228,19 @@ def shared_stretches(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int,
         shift = np.sort(diagonal)[len(diagonal) // 2]
         near = at[place][np.abs(diagonal - shift) <= max(MIN_TOKENS, (e - s) // 4)]
         low, high = int(near.min()), int(near.max()) + 1
-        part, other = np.unique(a[s:e]), np.unique(b[low:high])
-        both = len(np.intersect1d(part, other, assume_unique=True))
-        similarity = both / (len(part) + len(other) - both)
+        similarity = _similarity(a[s:e], b[low:high])
         if similarity >= SIMILARITY:
             if high - low >= MIN_TOKENS * SIMILARITY:
                 out.append((s, e, low, high, float(similarity)))
             continue
+        if outer:
+            out += _between_runs(a, b, place, at[place])
+            todo += [(s + x, s + y, False) for x, y in dense_stretches(hit[s:e]) if y - x >= MIN_TOKENS]
+            continue
         jump, gap = np.abs(np.diff(diagonal)), np.diff(place)
         if len(gap) and (jump.any() or (gap > 1).any()):
             cut_at = int(place[int((jump if jump.any() else gap).argmax())]) + 1
-            todo += [(s, cut_at), (cut_at, e)]
+            todo += [(s, cut_at, False), (cut_at, e, False)]
     return out
 
 
@@ -230,8 +273,8 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _block_pairs(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    """For each open seed of one block pair of one key, a partner around whose seed the open one's tokens recur: 8 of 9
-    in a stretch of MIN_TOKENS with the seed."""
+    """For each open seed of one block pair of one key, a partner around whose seed the open one's tokens recur: 4 of 5
+    in a stretch of MIN_TOKENS or more with the seed."""
     t = t.sort_by([("tk", "ascending"), ("s", "ascending")])  # rows come in any order, and the first partner counts
     near = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("near").combine_chunks()]
     code = np.unique(np.concatenate(near), return_inverse=True)[1]
@@ -240,13 +283,6 @@ def _block_pairs(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     open_side, tk, place = t.column("open_side").to_numpy(zero_copy_only=False), t.column("tk").to_numpy(), t.column("place").to_numpy()
     left = np.flatnonzero(~open_side)
     rows: list[tuple[int, int]] = []
-    seen: dict[bytes, bool] = {}
-
-    def known(key: bytes, mask: np.ndarray) -> bool:
-        if key not in seen:
-            seen[key] = any(e - s >= MIN_TOKENS for s, e in dense_stretches(mask))
-        return seen[key]
-
     same: dict[bytes, int] = {}
     content = [same.setdefault(x.tobytes(), i) for i, x in enumerate(near)]
     tested: dict[tuple[int, int], bool] = {}
@@ -269,15 +305,13 @@ def _block_pairs(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
             where[own] = -1
             hit = np.zeros((len(left), len(own)), bool)
             hit[owner[column >= 0], column[column >= 0]] = True
-            total = np.concatenate([np.zeros((len(left), 1), int), np.cumsum(hit[:, back], axis=1)], axis=1)
-            first = np.arange(max(0, place[q] - MIN_TOKENS + 1), min(place[q], len(codes[q]) - MIN_TOKENS) + 1)
-            best = (total[:, first + MIN_TOKENS] - total[:, first]).max(1)
-            enough = np.flatnonzero((best * (MATCHES + 1) >= MIN_TOKENS * MATCHES) & (tk[left] != tk[q]))
+            score = np.concatenate([np.zeros((len(left), 1), int), np.cumsum(np.where(hit[:, back], 1, -LEAST_MATCHES), axis=1)], axis=1)
+            after = np.maximum.accumulate(score[:, ::-1], axis=1)[:, ::-1]
+            first = np.arange(min(place[q], len(codes[q]) - MIN_TOKENS) + 1)
+            best = (after[:, np.maximum(first + MIN_TOKENS, place[q] + 1)] - score[:, first]).max(1)
+            enough = np.flatnonzero((best >= 0) & (tk[left] != tk[q]))
             enough = enough[np.argsort(-best[enough], kind="stable")]
-            masks = hit[enough][:, back]
-            # members of a group leave the same few masks
-            dense = [known(m.tobytes(), m) for m in masks]
-            partner = next((p for p, d in zip(left[enough], dense) if d and share(q, p)), None)
+            partner = next((p for p in left[enough] if share(q, p)), None)
             if partner is not None:
                 rows.append((q, partner))
     q, p = (np.array([r[k] for r in rows], int) for k in (0, 1))
