@@ -71,6 +71,16 @@ def test_decontamination_of_nothing(spark, docs_of, prose):
     assert decontaminate.contamination_report(docs_of([(1, prose(1, 20))] * 3), bench).count() == 1
 
 
+def test_decontamination_by_items_without_an_id(spark, docs_of, prose):
+    items = [(None, prose(1, 20)), (None, prose(2, 20)), (None, prose(3, 30)), (None, prose(3, 30)), (None, None), (4, prose(4, 20)), (4, prose(5, 20))]
+    docs = [(k, prose(50 + k, 30) + " " + prose(k, 30 if k == 3 else 20) + " " + prose(80 + k, 30)) for k in range(1, 6)]
+    docs += [(6, prose(90, 30)), (7, f"{prose(1, 20)} x {prose(2, 20)}"), (None, prose(2, 20))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(((r["doc_id"], r["item_id"], r["start_word"]) for r in decontaminate.contamination_report(docs_of(docs), bench).collect()), key=repr)
+    assert got == sorted([(k, None if k < 4 else 4, 30) for k in range(1, 6)] + [(7, None, 0), (7, None, 21), (None, None, 0)], key=repr)
+    assert [r["doc_id"] for r in decontaminate.decontaminate(docs_of(docs), bench).collect()] == [6]
+
+
 def test_hamming_blocks_keep_the_radius(spark):
     r = np.random.default_rng(0)
     rows = []

@@ -11,7 +11,8 @@ the window, which positions that hold a benchmark shingle bound from above.  Tha
 the benchmark's shingles broadcast while they are few (counted first), and an ordinary join beyond that.
 
 Defined results: null, empty and wordless texts and items match nothing; an item of fewer than five words is one
-shingle; a document shorter than an item is one window; equal rows are found once; nulls in ids are kept apart.
+shingle; a document shorter than an item is one window; equal rows are found once; nulls in ids are kept apart, those of
+items too: an item is known by the hash of its id and text.
 """
 
 from __future__ import annotations
@@ -74,19 +75,20 @@ def _sized_shingles(hashes: Column, size: Column, sizes: list[int]) -> Column:
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                  item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(k1, k2, doc_id, item_id, start_word, n_words, hamming, similarity): the best window of each document for each
-    item that it holds.  (k1, k2) is the hash of id and text, a key of the row."""
+    item that it holds.  (k1, k2) is the hash of id and text, a key of the row; items have such keys (i1, i2) inside."""
     k1, k2 = hash128(F.col("doc_id"), F.col("text"))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select(k1.alias("k1"), k2.alias("k2"), "doc_id", "text")
     hashes = lambda text: F.transform(normal_words(text), lambda w: F.xxhash64(w))
 
-    bench = items.select(F.col(item_col).alias("item_id"), hashes(F.col(item_text_col)).alias("hashes")).where(F.size("hashes") > 0)
+    i1, i2 = hash128(F.col(item_col), F.col(item_text_col))
+    bench = items.select(i1.alias("i1"), i2.alias("i2"), F.col(item_col).alias("item_id"), hashes(F.col(item_text_col)).alias("hashes")).where(F.size("hashes") > 0).dropDuplicates(["i1", "i2"])
     bench = bench.withColumn("n_words", F.size("hashes")).withColumn("size", F.least(F.lit(SHINGLE), F.col("n_words")))
     bench = bench.withColumn("shingles", _sized_shingles(F.col("hashes"), F.col("size"), list(range(1, SHINGLE + 1))))
-    bench = cut(bench.select("item_id", "n_words", "size", "shingles", simhash(F.col("shingles")).alias("fingerprint")), "benchmark")
+    bench = cut(bench.select("i1", "i2", "item_id", "n_words", "size", "shingles", simhash(F.col("shingles")).alias("fingerprint")), "benchmark")
     sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())  # five values at most
 
     # Positions that hold a shingle of some item.
-    keys = cut(bench.select("size", F.explode(F.array_distinct("shingles")).alias("h"), "item_id", "n_words", F.size("shingles").alias("n")).distinct(), "benchmark-shingles")
+    keys = cut(bench.select("size", F.explode(F.array_distinct("shingles")).alias("h"), "i1", "i2", "n_words", F.size("shingles").alias("n")).distinct(), "benchmark-shingles")
     few = keys.count() <= BROADCAST_SHINGLES
     hashed = docs.select("k1", "k2", hashes(F.col("text")).alias("hashes"))
     spots = None
@@ -99,15 +101,15 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     if spots is None:
         return docs.sparkSession.createDataFrame([], f"k1 long, k2 long, doc_id {kind}, item_id {bench.schema['item_id'].dataType.simpleString()}, start_word long, n_words long, hamming int, similarity double")
     # Most documents share a few phrases with some item: the whole document must hold enough of the item first.
-    spots = cut(spots.select("k1", "k2", "words", "pos", "size", "item_id", "n_words", "n").distinct(), "shared-shingles")
+    spots = cut(spots.select("k1", "k2", "words", "pos", "size", "i1", "i2", "n_words", "n").distinct(), "shared-shingles")
     enough = F.ceil(F.lit(threshold) * F.col("n") - 1e-9)
-    item_key = ["k1", "k2", "item_id", "n_words"]
+    item_key = ["k1", "k2", "i1", "i2", "n_words"]
     held = spots.groupBy(*item_key).agg(F.count("*").alias("held"), F.max(enough).alias("enough")).where("held >= enough").select(*item_key)
     spots = spots.join(cut(held, "held-items"), item_key, "left_semi")
     # Starts of windows of the item's size around each position, with the positions that fall inside.
     last = F.greatest(F.lit(0), F.col("words") - F.col("n_words"))
     starts = F.sequence(F.greatest(F.lit(0), F.least(last, F.col("pos") - F.col("n_words") + F.col("size"))), F.least(last, F.col("pos")))
-    windows = (spots.withColumn("start", F.explode(starts)).groupBy("k1", "k2", "item_id", "n_words", "size", "start")
+    windows = (spots.withColumn("start", F.explode(starts)).groupBy("k1", "k2", "i1", "i2", "n_words", "size", "start")
                .agg(F.count("*").alias("held"), F.max(enough).alias("enough")).where("held >= enough"))
     windows = cut(windows.select("k1", "k2", "n_words", "size", "start").distinct(), "windows")
 
@@ -121,15 +123,15 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     # Multi-index Hamming search: equal bits in one block at least.
     block = lambda df: df.withColumn("b", F.explode(hamming_blocks(F.col("fingerprint")))).select("*", "b.block", "b.bits").drop("b", "shingles")
     left = block(prints)
-    right = block(bench.select("item_id", "n_words", F.col("fingerprint").alias("fingerprint"))).withColumnRenamed("fingerprint", "item_fingerprint")
+    right = block(bench.select("i1", "i2", "n_words", F.col("fingerprint").alias("fingerprint"))).withColumnRenamed("fingerprint", "item_fingerprint")
     distance = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint")))
     close = left.join(right, ["n_words", "block", "bits"]).withColumn("hamming", distance).where(F.col("hamming") <= RADIUS)
-    close = close.select("k1", "k2", "n_words", "start", "item_id", "hamming").distinct()
+    close = close.select("k1", "k2", "n_words", "start", "i1", "i2", "hamming").distinct()
     checked = (close.join(prints.select("k1", "k2", "doc_id", "n_words", "start", "shingles"), ["k1", "k2", "n_words", "start"])
-               .join(bench.select("item_id", "n_words", F.col("shingles").alias("item_shingles")), ["item_id", "n_words"])
+               .join(bench.select("i1", "i2", "item_id", F.col("shingles").alias("item_shingles")), ["i1", "i2"])
                .withColumn("similarity", weighted_similarity(F.col("shingles"), F.col("item_shingles"))).where(F.col("similarity") >= threshold - 1e-12))
     best = F.max(F.struct("similarity", (-F.col("start")).alias("before"), "hamming", "doc_id")).alias("best")
-    return checked.groupBy("k1", "k2", "item_id", "n_words").agg(best).select(
+    return checked.groupBy("k1", "k2", "i1", "i2", "item_id", "n_words").agg(best).select(
         "k1", "k2", "best.doc_id", "item_id", (-F.col("best.before")).cast("long").alias("start_word"), F.col("n_words").cast("long").alias("n_words"), "best.hamming", "best.similarity")
 
 
