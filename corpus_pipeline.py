@@ -25,8 +25,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by five-word shingles at 0.8."""
-    return setsketch.near_dedup(docs, size=5, percent=80)
+    """One document of each group of near copies, by five-word shingles at 0.8; texts that share an id are documents of
+    their own."""
+    return setsketch.near_dedup(docs, size=5, percent=80, single_ids=False)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

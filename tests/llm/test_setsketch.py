@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 
+import corpus_pipeline
 from vicinity.llm import setsketch, textkit
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -77,6 +78,17 @@ def test_five_words_repeats_and_null_ids(spark, docs_of, prose):
     assert got(docs_of([])) == [] and setsketch.near_dedup(docs_of([])).count() == 0
 
 
+def test_rows_are_kept_by_text_not_by_id_alone(spark, docs_of, prose):
+    rows = [(None, prose(s, 40)) for s in range(20, 26)] + [(None, prose(20, 40)), (None, None), (None, "")]
+    rows += [(1, prose(30, 40)), (None, prose(30, 40)), (5, prose(30, 40)), (5, prose(31, 40)), (6, prose(31, 40)), (7, prose(32, 40)), (7, prose(33, 40)), (7, None), (7, "")]
+    out = sorted(map(repr, ((r["doc_id"], r["text"]) for r in setsketch.near_dedup(docs_of(rows, extra=True), single_ids=False).collect())))
+    want = [(None, prose(s, 40)) for s in range(20, 26)] + [(None, None), (None, ""), (1, prose(30, 40)), (5, prose(31, 40)), (7, prose(32, 40)), (7, prose(33, 40)), (7, None), (7, "")]
+    assert out == sorted(map(repr, want))
+    assert corpus_pipeline.near_dedup(spark, docs_of(rows), "").count() == len(want)
+    single = [(r["doc_id"], r["text"]) for r in setsketch.near_dedup(docs_of(rows)).collect()]
+    assert len(single) == len(want) - 1 and (5, prose(31, 40)) in single and set(single) <= set(want)
+
+
 def test_registers_merge_and_estimate():
     r = np.random.default_rng(0)
     item = r.integers(0, 2**63, 4000).astype(np.uint64)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, pick_rows
+from .common import cut, discard, hash128, pick_rows
 from .graph import components
 from .textkit import GOLDEN, map_arrow, mix64, shingle_set
 
@@ -269,12 +269,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", "fp", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The columns of ``docs``: of each component the document with the smallest id; every text without words stays."""
-    found = near_duplicates(docs, id_col, text_col, size, percent)
-    found = cut(found.select("doc_id", "fp", "n_shingles", "kept"), "near-dedup")
-    kept = found.where("kept").select(F.col("doc_id").alias("__vicinity_id")).distinct()
-    out = docs.join(kept.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__vicinity_id")), "left_semi")
-    if found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates([id_col])
-    return out
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, single_ids: bool = True) -> DataFrame:
+    """The columns of ``docs``: of each component one row, that with the smallest id; every text without words stays.
+
+    Rows are told apart by id and text, so null ids and ids that several texts share name no row but their own.  With
+    ``single_ids``, an id other than null stays with one text even where texts of several components share it.
+    """
+    k1, k2 = hash128(F.col(text_col))
+    key = F.struct(F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"), k1.alias("k1"), k2.alias("k2"))
+    found = near_duplicates(docs.select(key.alias("doc_id"), F.col(text_col).alias("text")), size=size, percent=percent)
+    found = cut(found.where("kept").select(F.col("doc_id").alias("__vicinity_key"), (F.col("n_shingles") > 0).alias("__vicinity_worded")), "near-dedup")
+    rows = found.groupBy("__vicinity_key", "__vicinity_worded").agg(F.count("*").alias("n"))
+    repeated = rows.where("__vicinity_worded and n > 1").limit(1).count()
+    kept = rows.drop("n")
+    if single_ids:
+        several = found.where("__vicinity_worded and not __vicinity_key.nameless")
+        several = several.groupBy("__vicinity_key.id").agg(F.min("__vicinity_key").alias("least"), F.max("__vicinity_key").alias("most")).where("least <> most")
+        others = found.where("__vicinity_worded").join(several, F.col("__vicinity_key.id") == F.col("id")).where("__vicinity_key <> least").select("__vicinity_key")
+        kept = kept.join(others, "__vicinity_key", "left_anti")
+    out = docs.withColumn("__vicinity_own", key)
+    out = out.join(kept.hint("shuffle_hash"), F.col("__vicinity_own") == F.col("__vicinity_key"))
+    if repeated:
+        out = out.where("__vicinity_worded").dropDuplicates(["__vicinity_own"]).unionByName(out.where("not __vicinity_worded"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
