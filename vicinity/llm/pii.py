@@ -12,15 +12,20 @@ the key can undo it.  Separators and case stay where they are.  Two networks:
 Check digits are computed anew.  Text around the values is never touched; numbers that fail validation stay as they are.
 
 Defined results: a null text stays null with no finding; values are found left to right without overlap, the first kind
-of ``KINDS`` that matches at a place wins; equal rows give equal results.
+of ``KINDS`` that matches at a place wins; equal rows give equal results; a host name of more than 127 labels counts up
+to the 127th.  The key is an argument or a Spark setting and stands nowhere in this code.  Like any literal it is part of
+the query plan: keep plans and event logs as close as the key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = "vicinity-pseudonyms-1"
+#: Spark setting with the key of the pseudonyms.
+KEY_SETTING = "spark.vicinity.pii.key"
 ROUNDS = 8
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 EPOCH = "1800-01-01"
@@ -28,9 +33,10 @@ DAYS = (189, 773)
 #: Of these, the days after the 12th of a month.
 LATE_DAYS = (9, 9833)
 
-#: Kind and pattern, by precedence.  Fixed formats.
+#: Kind and pattern, by precedence.  Fixed formats.  Every repeated group is bounded: the matcher recurses once for each
+#: turn of a group, while repeated classes of characters are loops.  A host name has 127 labels at most.
 KINDS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\p{L}\p{N}])",
+    "email": r"(?<![\p{L}\p{N}._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,125}\.[A-Za-z]{2,}(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "secret": r"(?<=[\"'])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?=[\"'])",
     "date": r"(?<![\p{L}\p{N}./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![\p{L}\p{N}/-])",
@@ -243,7 +249,7 @@ def kind_of(m: Column) -> Column:
             .when(m.rlike("^[0-9]{3}-[0-9]{2}-"), "ssn").when(m.contains("."), "ip").otherwise("card"))
 
 
-def pseudonym(m: Column, key: str = KEY, undo: bool = False) -> Column:
+def pseudonym(m: Column, key: str, undo: bool = False) -> Column:
     """The pseudonym of a found value; null if the value is not valid for its kind."""
     kind = kind_of(m)
     made = {"email": _email(m, key, undo), "iban": _iban(m, key, undo), "secret": string_feistel(m, F.lit("secret"), key, undo, hexits=True), "date": _date(m, key, undo),
@@ -254,7 +260,15 @@ def pseudonym(m: Column, key: str = KEY, undo: bool = False) -> Column:
     return out
 
 
-def pseudonymize(docs: DataFrame, text_col: str = "text", key: str = KEY, undo: bool = False) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key in ``KEY_SETTING``.  Where it is unset, a random one that is kept there until the session ends, so that
+    pseudonyms link within the session and nobody can undo them after it."""
+    if not spark.conf.get(KEY_SETTING, ""):
+        spark.conf.set(KEY_SETTING, secrets.token_hex(32))
+    return spark.conf.get(KEY_SETTING)
+
+
+def pseudonymize(docs: DataFrame, text_col: str, key: str, undo: bool = False) -> DataFrame:
     """``docs`` with the values in ``text_col`` replaced, and a column ``__vicinity_found``: an array of (kind, pseudonym)."""
     text = F.col(text_col)
     found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
@@ -267,8 +281,10 @@ def pseudonymize(docs: DataFrame, text_col: str = "text", key: str = KEY, undo:
     return out.withColumn("__vicinity_found", F.coalesce(kept, F.array().cast("array<struct<kind:string,pseudonym:string>>"))).drop("__vicinity_values")
 
 
-def pii_report(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """Per document its pseudonymised text, how many values were replaced, and of which kinds."""
+def pii_report(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """Per document its pseudonymised text, how many values were replaced, and of which kinds; without a key, by the
+    session's."""
+    key = key or session_key(docs.sparkSession)
     out = pseudonymize(docs.select("doc_id", "text"), "text", key)
     kinds = F.array_join(F.array_sort(F.transform("__vicinity_found", lambda v: v["kind"])), ",")
     return out.select("doc_id", "text", F.size("__vicinity_found").cast("long").alias("n_found"), kinds.alias("kinds"))
