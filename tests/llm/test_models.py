@@ -104,3 +104,7 @@ def test_fourier_features_approximate_the_kernel():
     z = f(x)[:, :-1]
     gauss = np.exp(-((x[:, None] - x[None]) ** 2).sum(-1) / (2 * quality.WIDTH**2))
     assert np.abs(z @ z.T - gauss).mean() < 0.06
+
+
+def test_number_signs_are_no_letters():
+    assert not any(map(language.has_letter, [None, "", "½ ² ① 12 !", "_", "٣"])) and all(map(language.has_letter, ["1a", "ß", "字", "½ x"]))

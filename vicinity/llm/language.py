@@ -12,7 +12,6 @@ every text is; rows with a null id never teach.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,6 @@ REJECT = 0.5
 #: Languages times centroids that may be sent to every executor (16 kB each).
 MOST_CENTROIDS = 4096
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 
 #: Bytes as n-grams see them: ASCII letters and all bytes of longer characters stand, everything else is a space.
 SEEN = np.array([b if chr(b).isalpha() or b >= 128 else 32 for b in range(256)], np.uint32)
@@ -51,7 +49,7 @@ def ngram_counts(text: str) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and LETTER.search(text) is not None
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
