@@ -59,3 +59,12 @@ def test_empty_table(spark, docs_of):
 def test_bitmaps_mark_kept_lines(spark, docs_of):
     maps = {r["id"]: r["keep_words"] for r in lines.keep_bitmaps(docs_of(ROWS)).collect()}
     assert set(maps) == {1, 2, 3, 4} and maps[1] == {0: ~0b101}
+
+
+def test_first_occurrences_are_streamed_from_a_sorted_range(spark, docs_of):
+    rows = [(1, 1, d, p) for d in (3, 1, 2) for p in (5, 2, 9)] + [(1, 2, 1, 0), (2, 1, 1, 7), (2, 1, 1, 7)]
+    first = lines.first_occurrences(spark.createDataFrame(rows, "h1 long, h2 long, id long, pos int"))
+    assert sorted(map(tuple, first.collect())) == [(1, 1, 1, 2), (1, 1, 2, 2), (1, 1, 3, 2), (1, 2, 1, 0), (2, 1, 1, 7)]
+    plan = first._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.index("Window") < plan.index("Sort [h1") < plan.index("rangepartitioning")
+    assert plan.count("Sort [") == 1 and plan.count("Exchange") == 1 and "pos" in plan[plan.index("Sort [h1"):].split("]")[0]

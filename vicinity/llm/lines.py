@@ -1,9 +1,10 @@
 """Line dedup over whole documents, in DataFrame operations only.
 
 Lines become 128-bit hashes.  The hashes are range-partitioned together with the document id, with a secondary sort by
-document and position, so that a line shared by a third of all rows still spreads over many partitions; each partition
-streams its first occurrences into one partial row per hash, and only those partial rows are shuffled again.  The
-decision is a compressed keep bitmap per document (64-bit words, words without a dropped line left out), not text.
+document and position, so that a line shared by a third of all rows still spreads over many partitions.  A window over
+that order passes on the first occurrence of a line in each document as it streams by; the first occurrences become one
+partial row per hash and partition, and only those partial rows are shuffled again.  The decision is a compressed keep
+bitmap per document (64-bit words, words without a dropped line left out), not text.
 
 Defined results: a null or empty text is one empty line; rows with a null id keep all their lines and count for
 nothing; rows that repeat an id are one document, each row deciding for its own text.
@@ -11,7 +12,7 @@ nothing; rows that repeat an id are one document, each row deciding for its own
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut, hash128, strip_blanks
@@ -41,11 +42,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select(h1.alias("h1"), h2.alias("h2"), "id", "text_hash", "pos"),
         "line-occurrences",
     )
-    # One row per hash and document, streamed in hash order from ranges that also split by document.
-    firsts = (occurrences.repartitionByRange("h1", "h2", "id").sortWithinPartitions("h1", "h2", F.desc("id"), "pos")
-              .groupBy("h1", "h2", "id").agg(F.min("pos").alias("pos")))
     repeated = cut(
-        firsts.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("owner"))
+        first_occurrences(occurrences).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("owner"))
         .where(F.col("n") >= min_docs).select("h1", "h2", "owner"),
         "repeated-lines",
     )
@@ -58,6 +56,14 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def first_occurrences(occurrences: DataFrame) -> DataFrame:
+    """The first row by position of each line (h1, h2) in each document (id): a scan of ranges of lines and documents,
+    sorted by position within.  Both the ranges and the sort are what the window asks for, so neither is done twice."""
+    ordered = occurrences.select("h1", "h2", "id", "pos").repartitionByRange("h1", "h2", "id").sortWithinPartitions("h1", "h2", "id", "pos")
+    seen = F.row_number().over(Window.partitionBy("h1", "h2", "id").orderBy("pos"))
+    return ordered.withColumn("seen", seen).where("seen = 1").drop("seen")
+
+
 def kept_text(text: Column, keep_words: Column) -> Column:
     """The text that the bitmap leaves; without a bitmap, all of it."""
     bit = lambda i: F.try_element_at(keep_words, F.floor(i / 64).cast("long")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i % 64))
