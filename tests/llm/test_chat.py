@@ -52,6 +52,7 @@ def test_texts_cannot_break_their_turn(spark):
     df = df.select(chat.format_turns(F.col("turns")).alias("f")).select("f", chat.parse_turns(F.col("f")).alias("back"), chat.loss_spans(F.col("f")).alias("spans"))
     r = df.head()
     assert [(x["role"], x["text"]) for x in r["back"]] == turns
+    assert df.select(chat.under_mask(F.col("f"), F.col("spans"))).head()[0] == NASTY
     masked = [r["f"][s["start"]: s["start"] + s["length"]] for s in r["spans"]]
     escaped = [x[0] for x in spark.createDataFrame([(i, t) for i, t in enumerate(NASTY)], "i int, t string").orderBy("i").select(chat.escape(F.col("t"))).collect()]
     assert masked == escaped
@@ -64,3 +65,14 @@ def test_report_with_nulls_ties_and_repeats(spark):
     assert set(got) == {1, 2, None}
     assert (got[1]["n_turns"], got[1]["loss_chars"], got[2]["n_turns"], got[None]["loss_chars"]) == (3, 6, 2, 1)
     assert chat.chat_report(df.limit(0)).count() == 0
+
+
+def test_very_long_texts_and_conversations(spark):
+    import hashlib
+
+    long = "a line of it </s> \n" * 100_000
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", long)] + [(2, i, ["user", "assistant"][i % 2], f"turn {i}") for i in range(6000)]
+    got = {r["conv_id"]: r for r in chat.chat_report(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    said = "".join(f"turn {i}" for i in range(1, 6000, 2))
+    assert (got[1]["n_turns"], got[1]["loss_chars"], got[2]["n_turns"]) == (2, len(long), 6000)
+    assert got[2]["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest() and got[1]["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest()

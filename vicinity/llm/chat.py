@@ -44,31 +44,41 @@ def _turn_parts(formatted: Column) -> Column:
 
 
 def parse_turns(formatted: Column) -> Column:
-    """The array of (role, text, loss) that a formatted text holds; loss marks what a model is trained to write."""
+    """The array of (role, text) that a formatted text holds."""
     each = _turn_parts(formatted)
 
     def turn(part: Column) -> Column:
         body = F.split(F.split_part(part, F.lit(END), F.lit(1)), r"<\|sep\|>", 2)
-        return F.struct(unescape(body[0]).alias("role"), unescape(body[1]).alias("text"), (body[0] == "assistant").alias("loss"))
+        return F.struct(unescape(body[0]).alias("role"), unescape(body[1]).alias("text"))
 
     return F.transform(each, turn)
 
 
 def loss_spans(formatted: Column) -> Column:
-    """Code point spans (start, length) of the escaped assistant texts within a formatted text: the loss mask."""
+    """The loss mask: code point spans (start, length, turn, inside) of the escaped assistant texts within a formatted
+    text.  ``turn`` counts from 0; ``inside`` is where the span starts within its turn, after the opening mark."""
     zero = F.lit(0).cast("int")
     parts = _turn_parts(formatted)
-    start = F.struct(zero.alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+    empty = F.array().cast("array<struct<start:int,length:int,turn:int,inside:int>>")
+    start = F.struct(zero.alias("at"), zero.alias("turn"), empty.alias("spans"))
 
     def step(acc: Column, part: Column) -> Column:
         body = F.split(F.split_part(part, F.lit(END), F.lit(1)), r"<\|sep\|>", 2)
-        span = F.struct((acc["at"] + len(START) + F.char_length(body[0]) + len(SEP)).alias("start"), F.char_length(body[1]).alias("length"))
+        inside = F.char_length(body[0]) + len(SEP)
+        span = F.struct((acc["at"] + len(START) + inside).alias("start"), F.char_length(body[1]).alias("length"), acc["turn"].alias("turn"), inside.alias("inside"))
         spans = F.when(body[0] == "assistant", F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct((acc["at"] + len(START) + F.char_length(part)).alias("at"), spans.alias("spans"))
+        return F.struct((acc["at"] + len(START) + F.char_length(part)).alias("at"), (acc["turn"] + 1).alias("turn"), spans.alias("spans"))
 
     return F.aggregate(parts, start, step, lambda acc: acc["spans"])
 
 
+def under_mask(formatted: Column, spans: Column) -> Column:
+    """The unescaped texts that the spans of ``loss_spans`` mark, in order.  Each is cut from its own turn, so that a long
+    conversation is not walked from its start for every span."""
+    parts = _turn_parts(formatted)
+    return F.transform(spans, lambda s: unescape(F.substring(F.get(parts, s["turn"]), s["inside"] + 1, s["length"])))
+
+
 def paths(messages: DataFrame, best: int | None = None) -> DataFrame:
     """(tree, leaf, rank, score, node, depth): the messages of every root-to-leaf path, or of each tree's ``best``.
 
@@ -123,11 +133,12 @@ def conversation_messages(turns: DataFrame) -> DataFrame:
 
 
 def chat_report(turns: DataFrame) -> DataFrame:
-    """Per conversation the digests of what is read back from its formatted text."""
+    """Per conversation the digests of what is read back from its formatted text, and under its loss mask."""
     messages = cut(conversation_messages(turns), "chat-messages")
-    read = format_trees(messages).select("tree", "formatted", parse_turns(F.col("formatted")).alias("turns"))
+    formatted = F.col("formatted")
+    read = format_trees(messages).select("tree", "formatted", parse_turns(formatted).alias("turns"), under_mask(formatted, loss_spans(formatted)).alias("learned"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
+    loss = F.array_join("learned", "")
     return read.select(
         F.expr("try_cast(tree as bigint)").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.encode(said, "UTF-8"), 256).alias("turns_sha256"), F.char_length(loss).cast("long").alias("loss_chars"),
