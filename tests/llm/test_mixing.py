@@ -85,8 +85,30 @@ def test_repeated_rows_and_empty_tables(spark, docs_of):
     assert [r["taken"] for r in mixing.mix_report(docs_of([(1, None, None, None)])).collect()] == [0]
 
 
-def test_pareto_ranks_use_inclusion_odds(spark):
+def test_random_numbers_are_even(spark):
     from pyspark.sql import functions as F
 
     u = [r[0] for r in spark.range(2000).select(mixing.uniform(F.col("id"), "s")).collect()]
     assert 0 < min(u) and max(u) < 1 and abs(sum(u) / 2000 - 0.5) < 0.03
+
+
+def test_documents_are_included_as_often_as_their_odds_say(spark, docs_of):
+    """200 draws at once: as many sources that hold the same 60 sizes under different ids."""
+    sizes, draws = [2 ** (i % 6) + i % 3 for i in range(60)], 200
+    data = [(s * 60 + i, "w " * n, f"s{s:03d}", None) for s in range(draws) for i, n in enumerate(sizes)]
+    got = mixing.plan(docs_of(data)).collect()
+    seen, want = defaultdict(list), {}
+    for r in got:
+        times = r["target"] / r["source_size"]
+        if times % 1 > 1e-9:
+            key = (round(times, 9), r["size"])
+            seen[key].append(r["copies"] - int(times))
+            want[key] = r["inclusion"]
+    p = {k[0]: k[0] % 1 for k in want}
+    assert len({round(v, 9) for v in want.values()}) > len(p)  # unequal within a source
+    for t in p:
+        assert abs(sum(n * want[t, n] for n in sizes) / sum(sizes) - p[t]) < 1e-9
+    for k, hits in seen.items():
+        assert set(hits) <= {0, 1} and abs(sum(hits) / len(hits) - want[k]) < 4 * (want[k] * (1 - want[k]) / len(hits)) ** 0.5 + 0.02, (k, want[k])
+    small, large = (sum(sum(h) for k, h in seen.items() if k[1] in x) / sum(len(h) for k, h in seen.items() if k[1] in x) for x in ((1, 2, 3, 4), (32, 33, 34)))
+    assert large > small + 0.05

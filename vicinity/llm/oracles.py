@@ -21,8 +21,8 @@ from turns group by conv_id
 
 ORACLES["op9_source_mixing"] = r"""
 with base as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
-s0 as (select source, sum(size)::bigint as source_size from base group by source),
+  select *, length(bin(size)) as digits from (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents)),
+s0 as (select source, sum(size)::bigint as source_size, sum(size * digits)::bigint as size_digits, min(digits) as low, max(digits) as high from base group by source),
 s1 as (select *, [3.0::double, 1.0::double, 2.0::double][1 + (row_number() over (order by source nulls last) - 1) % 3] as weight, 2.0::double * source_size as cap from s0),
 s2 as (select *, cap / weight as fill from s1),
 s3 as (select *,
@@ -31,14 +31,16 @@ s3 as (select *,
   1.5::double * sum(source_size) over () as total from s2),
 s4 as (select *, (total - before) / open_weight as level from s3),
 s5 as (select *, (select level from s4 where level <= fill order by fill, source nulls last limit 1) as lam from s4),
-s6 as (select source, source_size, case when lam is null then cap else least(cap, lam * weight) end as target from s5),
+s6 as (select source, source_size, size_digits, low, high, case when lam is null then cap else least(cap, lam * weight) end as target from s5),
 s7 as (select *, case when source_size > 0 then target / source_size else 0 end as times from s6),
 s8 as (select *, floor(times + 1e-12)::bigint as whole from s7),
-s9 as (select *, greatest(0, times - whole) as p, target - whole * source_size as lacks from s8),
-r0 as (select b.doc_id, b.size, s.source, s.source_size, s.target, s.whole, s.p, s.lacks,
+s9 as (select *, greatest(0, times - whole) as p, target - whole * source_size as lacks, case when source_size > 0 then size_digits / source_size else 0 end as mean from s8),
+s10 as (select *, greatest(high - mean, mean - low) as reach from s9),
+s11 as (select *, case when reach > 0 then 0.5::double * least(p, 1 - p) / reach else 0 end as tilt from s10),
+r0 as (select b.doc_id, b.size, s.source, s.source_size, s.target, s.whole, s.p, s.lacks, s.p + s.tilt * (b.digits - s.mean) as pi,
   (('0x' || substr(md5('mix-1:' || coalesce(b.doc_id::varchar, 'null')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double as u
-  from base b join s9 s on b.source is not distinct from s.source),
-r1 as (select *, case when p > 0 then (u / (1 - u)) / (p / (1 - p)) end as odds from r0),
+  from base b join s11 s on b.source is not distinct from s.source),
+r1 as (select *, case when p > 0 then (u / (1 - u)) / (pi / (1 - pi)) end as odds from r0),
 r2 as (select *, coalesce(sum(size) over (partition by source order by odds / (1 + odds), doc_id nulls first rows between unbounded preceding and 1 preceding), 0) as before from r1)
 select doc_id, size, source_size, target,
   (size * (whole + case when p > 0 and before + size / 2.0 <= lacks then 1 else 0 end))::bigint as taken,
