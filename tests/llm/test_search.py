@@ -81,17 +81,52 @@ def test_decontamination_by_items_without_an_id(spark, docs_of, prose):
     assert [r["doc_id"] for r in decontaminate.decontaminate(docs_of(docs), bench).collect()] == [6]
 
 
-def test_hamming_blocks_keep_the_radius(spark):
-    r = np.random.default_rng(0)
-    rows = []
-    for _ in range(200):
+def test_the_index_keeps_the_radius_and_joins_a_pair_once(spark):
+    r, rows = np.random.default_rng(3), []
+    for i in range(400):
         x = int(r.integers(0, 2**63))
         y = x
-        for b in r.permutation(64)[: decontaminate.RADIUS]:
+        for b in r.permutation(64)[: decontaminate.RADIUS if i % 2 else 32]:
             y ^= 1 << int(b)
-        rows.append((x, y - 2**64 if y >= 2**63 else y))
-    df = spark.createDataFrame(rows, "x long, y long").select(decontaminate.hamming_blocks(F.col("x")).alias("a"), decontaminate.hamming_blocks(F.col("y")).alias("b"))
-    assert df.where(F.size(F.array_intersect("a", "b")) == 0).count() == 0
+        rows.append((i, x, y - 2**64 if y >= 2**63 else y))
+    df = spark.createDataFrame(rows, "i1 long, x long, y long").withColumn("i2", F.lit(0).cast("long"))
+    got = decontaminate.index_pairs(df.select("i1", "i2", F.col("x").alias("fingerprint")), df.select("i1", "i2", F.col("y").alias("item_fingerprint"))).collect()
+    near = [x["i1"] for x in got if x["hamming"] == decontaminate.RADIUS]
+    assert sorted(near) == list(range(1, 400, 2)) and len({x["i1"] for x in got}) == len(got) < 400
+
+
+def test_the_radius_keeps_what_is_similar(spark, prose):
+    """Of pairs of bags just above the threshold, nearly all have fingerprints within the radius."""
+    import random
+
+    r, rows = random.Random(9), []
+    for i in range(400):
+        a = prose(i, 60).split()
+        b = list(a)
+        for at in r.sample(range(56), 1 + i % 2):
+            b[at] = f"changed{at}"
+        rows.append((" ".join(a), " ".join(b)))
+    bag = lambda c: decontaminate.shingle_array(F.transform(decontaminate.normal_words(F.col(c)), lambda w: F.xxhash64(w)), 5)
+    df = spark.createDataFrame(rows, "a string, b string").select(bag("a").alias("a"), bag("b").alias("b"))
+    got = df.select(decontaminate.weighted_similarity(F.col("a"), F.col("b")).alias("s"), F.bit_count(decontaminate.simhash(F.col("a")).bitwiseXOR(decontaminate.simhash(F.col("b")))).alias("d")).where("s >= 0.8").collect()
+    assert len(got) > 200 and sum(x["d"] <= decontaminate.RADIUS for x in got) >= 0.99 * len(got)
+
+
+def test_windows_follow_from_where_shingles_enter_and_leave(spark):
+    import random
+
+    r, rows, want = random.Random(4), [], set()
+    for d in range(60):
+        words, n, size, enough = r.randint(1, 40), r.randint(1, 20), r.randint(1, 5), r.randint(1, 4)
+        n = max(n, size)
+        spots = sorted(r.sample(range(max(1, words - size + 1)), k=min(max(1, words - size + 1), r.randint(1, 12))))
+        rows += [(d, 0, words, p, size, 7, 7, n, enough) for p in spots]
+        for s in range(max(0, words - n) + 1):
+            if sum(s <= p <= s + n - size for p in spots) >= enough:
+                want.add((d, n, size, s))
+    spots = spark.createDataFrame(rows, "k1 long, k2 long, words int, pos int, size int, i1 long, i2 long, n_words int, enough long")
+    got = decontaminate.windows_of(spots).collect()
+    assert {(x["k1"], x["n_words"], x["size"], x["start"]) for x in got} == want and len(got) == len(want)
 
 
 def spans(df):

@@ -2,13 +2,17 @@
 
 Texts are lower-cased runs of letters and digits; their shingles are runs of five words, weighted by how often they
 occur.  For every benchmark item, windows of the item's size slide over the documents by single words.  Each window and
-item has a 64-bit SimHash of its weighted shingles.  Fingerprints within ``RADIUS`` bits agree in one of RADIUS + 1
-blocks at least (pigeonhole), so an equi-join on item size, block number and block bits finds every such pair.  Pairs
-within the radius are confirmed by the weighted Jaccard similarity of their shingles, in full.
-
-Windows that cannot reach the threshold are never formed: a similarity of t needs t times the item's shingles inside
-the window, which positions that hold a benchmark shingle bound from above.  That gate loses nothing; it is one scan with
-the benchmark's shingles broadcast while they are few (counted first), and an ordinary join beyond that.
+item has a 64-bit SimHash of its weighted shingles, cut into ``BLOCKS`` blocks.  Fingerprints within ``RADIUS`` bits
+differ by ``FLIPS`` bits at most in one block at least (pigeonhole: 7 * 3 > 20), so items are entered under every value
+within that many flips of each of their blocks, and an equi-join on item, block number and block bits finds every such
+pair, each under the first of its blocks.  Pairs within the radius are confirmed by the weighted Jaccard similarity of
+their shingles, in full.
+
+Windows that cannot reach the threshold for any item are never formed: a similarity of t needs t times the item's
+shingles inside the window, which positions that hold one of the item's shingles bound from above.  That gate loses
+nothing and says which item a window may match, and the index is asked about that item alone.  It is one scan of the
+texts with the benchmark's shingles broadcast while they are few (counted first), and an ordinary join beyond that.
+Counts per window start come from a sweep over where shingles enter and leave, never from a row per shingle and start.
 
 Defined results: null, empty and wordless texts and items match nothing; an item of fewer than five words is one
 shingle; a document shorter than an item is one window; equal rows are found once; nulls in ids are kept apart, those of
@@ -17,7 +21,9 @@ items too: an item is known by the hash of its id and text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, hash128
@@ -25,6 +31,8 @@ from .common import cut, hash128
 SHINGLE = 5
 THRESHOLD = 0.8
 RADIUS = 20
+BLOCKS = 7
+FLIPS = RADIUS // BLOCKS
 #: Benchmark shingles that may be broadcast (about 24 bytes each).
 BROADCAST_SHINGLES = 2_000_000
 
@@ -49,19 +57,53 @@ def simhash(shingles: Column) -> Column:
         lambda acc, b: F.when(2 * total(b) > F.size(shingles), acc.bitwiseOR(one(b))).otherwise(acc))
 
 
-def hamming_blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
-    """The fingerprint in radius + 1 blocks of nearly equal width: an array of (block, bits)."""
-    parts = radius + 1
-    edges = [64 * i // parts for i in range(parts + 1)]
-    return F.array(*[
-        F.struct(F.lit(i).alias("block"), F.call_function("shiftrightunsigned", fingerprint, F.lit(a)).bitwiseAND(F.lit((1 << b - a) - 1).cast("long")).alias("bits"))
-        for i, (a, b) in enumerate(zip(edges, edges[1:]))])
+EDGES = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
+SPANS = list(zip(EDGES, EDGES[1:]))
+
+
+def _block(fingerprint: Column, a: int, b: int) -> Column:
+    return F.call_function("shiftrightunsigned", fingerprint, F.lit(a)).bitwiseAND(F.lit((1 << b - a) - 1).cast("long"))
+
+
+def hamming_blocks(fingerprint: Column) -> Column:
+    """The fingerprint in blocks of nearly equal width: an array of (block, bits)."""
+    return F.array(*[F.struct(F.lit(i).alias("block"), _block(fingerprint, a, b).alias("bits")) for i, (a, b) in enumerate(SPANS)])
+
+
+def hamming_probes(fingerprint: Column) -> Column:
+    """The same with every value within ``FLIPS`` bits of each block."""
+    def near(i: int, a: int, b: int) -> Column:
+        masks = [sum(1 << x for x in flips) for n in range(FLIPS + 1) for flips in combinations(range(b - a), n)]
+        return F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: F.struct(F.lit(i).alias("block"), _block(fingerprint, a, b).bitwiseXOR(m).alias("bits")))
+
+    return F.concat(*[near(i, a, b) for i, (a, b) in enumerate(SPANS)])
+
+
+def first_block(difference: Column) -> Column:
+    """The first block in which fingerprints with this difference (exclusive or) differ by ``FLIPS`` bits at most."""
+    out = F.lit(None).cast("int")
+    for i, (a, b) in reversed(list(enumerate(SPANS))):
+        out = F.when(F.bit_count(_block(difference, a, b)) <= FLIPS, F.lit(i)).otherwise(out)
+    return out
+
+
+def index_pairs(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """The pairs of ``windows`` (fingerprint, i1, i2 and more) and ``items`` (i1, i2, item_fingerprint) that the index
+    joins: within ``FLIPS`` bits in one block, each once, with their distance ``hamming``."""
+    left = windows.withColumn("b", F.explode(hamming_blocks(F.col("fingerprint")))).select(*windows.columns, "b.block", "b.bits")
+    right = items.select("i1", "i2", "item_fingerprint", F.explode(hamming_probes(F.col("item_fingerprint"))).alias("b")).select("i1", "i2", "item_fingerprint", "b.block", "b.bits")
+    difference = F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))
+    return (left.join(right, ["i1", "i2", "block", "bits"]).where(F.col("block") == first_block(difference))
+            .select(*windows.columns, F.bit_count(difference).alias("hamming")))
 
 
 def weighted_similarity(a: Column, b: Column) -> Column:
-    """Weighted Jaccard similarity of two arrays of shingles as bags."""
+    """Weighted Jaccard similarity of two arrays of shingles as bags.  Only bags that repeat a shingle are counted
+    shingle by shingle."""
     times = lambda x, v: F.size(F.filter(x, lambda y: y == v))
-    both = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, v: s + F.least(times(a, v), times(b, v)))
+    shared = F.array_intersect(a, b)
+    once = lambda x: F.size(F.array_distinct(x)) == F.size(x)
+    both = F.when(once(a) | once(b), F.size(shared)).otherwise(F.aggregate(shared, F.lit(0), lambda s, v: s + F.least(times(a, v), times(b, v))))
     return both / (F.size(a) + F.size(b) - both)
 
 
@@ -72,6 +114,25 @@ def _sized_shingles(hashes: Column, size: Column, sizes: list[int]) -> Column:
     return out
 
 
+def windows_of(spots: DataFrame) -> DataFrame:
+    """(k1, k2, n_words, size, start, items): the starts of item-sized windows that hold ``enough`` of an item's
+    shingles, with those items (i1, i2).
+
+    ``spots`` has a row for each position of a document (k1, k2, words) that holds a shingle of an item.  A position
+    enters at the first start whose window reaches it and leaves after the start that it is; between two such events the
+    count stays."""
+    last = F.greatest(F.lit(0), F.col("words") - F.col("n_words"))
+    event = lambda at, change: F.struct(at.alias("at"), F.lit(change).alias("change"))
+    enter = F.greatest(F.lit(0), F.least(last, F.col("pos") - F.col("n_words") + F.col("size")))
+    pair = ["k1", "k2", "i1", "i2"]
+    events = spots.select(*pair, "n_words", "size", "enough", last.alias("last"), F.explode(F.array(event(enter, 1), event(F.col("pos") + 1, -1))).alias("e")).where("e.at <= last")
+    steps = events.groupBy(*pair, "n_words", "size", "enough", "last", F.col("e.at").alias("at")).agg(F.sum("e.change").alias("change"))
+    order = Window.partitionBy(*pair).orderBy("at")
+    steps = steps.select(*pair, "n_words", "size", "enough", "at", F.sum("change").over(order).alias("held"), F.coalesce(F.lead("at").over(order) - 1, F.col("last")).alias("until"))
+    starts = steps.where("held >= enough").select(*pair, "n_words", "size", F.explode(F.sequence("at", "until")).alias("start"))
+    return starts.groupBy("k1", "k2", "n_words", "size", "start").agg(F.collect_list(F.struct("i1", "i2")).alias("items"))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                  item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(k1, k2, doc_id, item_id, start_word, n_words, hamming, similarity): the best window of each document for each
@@ -91,42 +152,30 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     keys = cut(bench.select("size", F.explode(F.array_distinct("shingles")).alias("h"), "i1", "i2", "n_words", F.size("shingles").alias("n")).distinct(), "benchmark-shingles")
     few = keys.count() <= BROADCAST_SHINGLES
     hashed = docs.select("k1", "k2", hashes(F.col("text")).alias("hashes"))
-    spots = None
-    for k in sizes:
-        each = hashed.select("k1", "k2", F.size("hashes").alias("words"), F.posexplode(shingle_array(F.col("hashes"), k)).alias("pos", "h"))
-        part = keys.where(F.col("size") == k)
-        each = each.join(F.broadcast(part) if few else part, "h")
-        spots = each if spots is None else spots.unionByName(each)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    if spots is None:
+    if not sizes:
         return docs.sparkSession.createDataFrame([], f"k1 long, k2 long, doc_id {kind}, item_id {bench.schema['item_id'].dataType.simpleString()}, start_word long, n_words long, hamming int, similarity double")
+    tagged = lambda k: F.transform(shingle_array(F.col("hashes"), k), lambda h, i: F.struct(F.lit(k).alias("size"), i.alias("pos"), h.alias("h")))
+    each = hashed.select("k1", "k2", F.size("hashes").alias("words"), F.explode(F.concat(*[tagged(k) for k in sizes])).alias("s")).select("k1", "k2", "words", "s.size", "s.pos", "s.h")
+    spots = each.join(F.broadcast(keys) if few else keys, ["size", "h"]).drop("h")
     # Most documents share a few phrases with some item: the whole document must hold enough of the item first.
     spots = cut(spots.select("k1", "k2", "words", "pos", "size", "i1", "i2", "n_words", "n").distinct(), "shared-shingles")
     enough = F.ceil(F.lit(threshold) * F.col("n") - 1e-9)
     item_key = ["k1", "k2", "i1", "i2", "n_words"]
     held = spots.groupBy(*item_key).agg(F.count("*").alias("held"), F.max(enough).alias("enough")).where("held >= enough").select(*item_key)
     spots = spots.join(cut(held, "held-items"), item_key, "left_semi")
-    # Starts of windows of the item's size around each position, with the positions that fall inside.
-    last = F.greatest(F.lit(0), F.col("words") - F.col("n_words"))
-    starts = F.sequence(F.greatest(F.lit(0), F.least(last, F.col("pos") - F.col("n_words") + F.col("size"))), F.least(last, F.col("pos")))
-    windows = (spots.withColumn("start", F.explode(starts)).groupBy("k1", "k2", "i1", "i2", "n_words", "size", "start")
-               .agg(F.count("*").alias("held"), F.max(enough).alias("enough")).where("held >= enough"))
-    windows = cut(windows.select("k1", "k2", "n_words", "size", "start").distinct(), "windows")
+    windows = cut(windows_of(spots.withColumn("enough", enough)), "windows")
 
     # Fingerprints of the windows, from the documents that have one.
     named = windows.select("k1", "k2").distinct()
     texts = docs.join(named.hint("shuffle_hash"), ["k1", "k2"], "left_semi").select("k1", "k2", "doc_id", hashes(F.col("text")).alias("hashes")).dropDuplicates(["k1", "k2"])
     inside = F.slice(F.col("hashes"), F.col("start") + 1, F.col("n_words"))
-    prints = windows.join(texts, ["k1", "k2"]).select("k1", "k2", "doc_id", "n_words", "start", _sized_shingles(inside, F.col("size"), sizes).alias("shingles"))
+    prints = windows.join(texts, ["k1", "k2"]).select("k1", "k2", "doc_id", "n_words", "start", "items", _sized_shingles(inside, F.col("size"), sizes).alias("shingles"))
     prints = cut(prints.withColumn("fingerprint", simhash(F.col("shingles"))), "window-fingerprints")
 
-    # Multi-index Hamming search: equal bits in one block at least.
-    block = lambda df: df.withColumn("b", F.explode(hamming_blocks(F.col("fingerprint")))).select("*", "b.block", "b.bits").drop("b", "shingles")
-    left = block(prints)
-    right = block(bench.select("i1", "i2", "n_words", F.col("fingerprint").alias("fingerprint"))).withColumnRenamed("fingerprint", "item_fingerprint")
-    distance = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint")))
-    close = left.join(right, ["n_words", "block", "bits"]).withColumn("hamming", distance).where(F.col("hamming") <= RADIUS)
-    close = close.select("k1", "k2", "n_words", "start", "i1", "i2", "hamming").distinct()
+    asked = prints.select("k1", "k2", "n_words", "start", "fingerprint", F.explode("items").alias("item")).select("k1", "k2", "n_words", "start", "fingerprint", "item.i1", "item.i2")
+    close = index_pairs(asked, bench.select("i1", "i2", F.col("fingerprint").alias("item_fingerprint"))).where(F.col("hamming") <= RADIUS)
+    close = close.select("k1", "k2", "n_words", "start", "i1", "i2", "hamming")
     checked = (close.join(prints.select("k1", "k2", "doc_id", "n_words", "start", "shingles"), ["k1", "k2", "n_words", "start"])
                .join(bench.select("i1", "i2", "item_id", F.col("shingles").alias("item_shingles")), ["i1", "i2"])
                .withColumn("similarity", weighted_similarity(F.col("shingles"), F.col("item_shingles"))).where(F.col("similarity") >= threshold - 1e-12))
