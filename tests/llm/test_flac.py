@@ -34,6 +34,63 @@ def test_without_a_seek_table_frames_are_read_in_turn():
     assert flac.decode([bare])[0].pcm == PAYLOADS[2]
 
 
+def subframes(stream):
+    """(subframe type, partition order or None) of each frame."""
+    out = []
+    for b in flac.decode([stream])[0].blocks:
+        head = len(flac._frame_header(b[0] // flac.BLOCK, b[1])) + 1
+        data = stream[b[2]:]
+        kind = data[head] >> 1
+        order = kind - 31 if kind >= 32 else kind - 8
+        bits = flac._Bits(np.frombuffer(data, np.uint8))
+        at = np.array([(head + 1 + order) * 8 + (flac.LPC_HEAD if kind >= 32 else 0) + 2])
+        out.append((kind, int(bits.read(at, 4)[0]) if kind >= 8 else None))
+    return out
+
+
+def test_the_encoder_writes_every_form_it_names():
+    t = np.arange(flac.BLOCK * 2)
+    tone = np.round(90 * np.sin(t / 5) + R.integers(-1, 2, len(t))).astype(np.int8).tobytes()
+    steps = np.concatenate([R.integers(-(2 ** (i % 6)), 2 ** (i % 6) + 1, 512) for i in range(8)]).astype(np.int8).tobytes()
+    silence = np.concatenate([R.integers(-9, 9, 2048), np.zeros(2048, int)]).astype(np.int8).tobytes()
+    noise = R.integers(0, 256, 4096, dtype=np.uint8).tobytes()
+    made = [subframes(s) for s in flac.encode([tone, steps, silence, noise, b"\0" * 4096])]
+    assert {k for k, _ in made[0]} == {31 + flac.LPC_ORDER}
+    assert all(8 <= k <= 35 and p == 3 for k, p in made[1] + made[2]) and made[3] == [(1, None)] and made[4] == [(0, None)]
+    assert len(flac.encode([silence])[0]) < 2048 * 5 / 8 + 200  # the silent half is escaped to no bits
+    assert [s.pcm for s in flac.decode(flac.encode([tone, steps, silence, noise]))] == [tone, steps, silence, noise]
+
+
+def test_a_sparse_seek_table_leaves_gaps_that_are_read_in_turn():
+    s = flac.encode([PAYLOADS[10]])[0]
+    at = 4 + 4 + 34
+    size = int.from_bytes(s[at + 1: at + 4], "big")
+    points = [s[at + 4 + i: at + 22 + i] for i in range(0, size, 18)]
+    body = b"".join(points[3::50])
+    sparse = s[:at] + s[at:at + 1] + len(body).to_bytes(3, "big") + body + s[at + 4 + size:]
+    assert flac.decode([sparse, s])[0].pcm == PAYLOADS[10]
+
+
+def test_long_streams_take_little_more_than_their_bytes():
+    import tracemalloc
+
+    data = R.integers(97, 123, 12 << 20, dtype=np.uint8).tobytes()
+    tracemalloc.start()
+    try:
+        stream = flac.encode([data])[0]
+        encoded = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        h = hashlib.sha256()
+        for b in flac.blocks([stream]):
+            h.update(b.pcm)
+        decoded = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert h.hexdigest() == hashlib.sha256(data).hexdigest()
+    # payload, frames, stream, and a run; runs are of 1 and 3 MB
+    assert encoded < 3 * len(data) + (120 << 20) and decoded < 2 * len(data) + (160 << 20)
+
+
 class Bits:
     def __init__(self):
         self.s = ""

@@ -1,18 +1,22 @@
 """FLAC for media columns: an encoder and a decoder that work on many frames at once.
 
 Streams are mono 8-bit at 8 kHz with fixed blocks of 4096 samples: STREAMINFO with the MD5 of the samples, a SEEKTABLE
-with every frame, then frames.  The encoder picks per frame a constant, verbatim samples, or a fixed linear predictor of
-order 0 to 2 with Rice-coded residuals, whichever is shortest.  The decoder reads constant, verbatim, fixed (order 0 to
-4) and LPC subframes with any Rice partition order, parameters of 4 or 5 bits and escaped partitions; it verifies the
-CRC-8 of each header, the CRC-16 of each frame and the MD5 of the stream.
+with every frame, then frames.  The encoder picks per frame a constant, verbatim samples, a fixed linear predictor of
+order 0 to 2 or one of order 4 fitted to the frame (LPC), with residuals in one partition or eight, each Rice-coded or
+escaped, whichever is shortest.  The decoder reads constant, verbatim, fixed (order 0 to 4) and LPC subframes with any
+Rice partition order, parameters of 4 or 5 bits and escaped partitions; it verifies the CRC-8 of each header, the CRC-16
+of each frame and the MD5 of the stream.
 
 Rice codes can only be read one after another, but frames are independent: step t handles sample t of every frame of a
-chunk, so the interpreter's cost is shared by thousands of frames.  Samples are a text's bytes as signed numbers.
+run, so the interpreter's cost is shared by hundreds of frames, of many streams or of one.  Both directions work in
+runs of a few megabytes, so a long stream takes no more memory than its bytes and a run.  Samples are a text's bytes
+as signed numbers.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +26,14 @@ SAMPLE_RATE = 8000
 MAGIC = b"fLaC"
 FIXED_ORDERS = 3
 RICE_MOST = 14
+#: Bytes that are coded together, and decoded together: more there, as each step costs the same for any number of frames.
+RUN = 1 << 20
+READ_RUN = 3 << 20
+LPC_ORDER = 4
+LPC_BITS = 10
+#: Bits of precision, shift and coefficients.
+LPC_HEAD = 9 + LPC_ORDER * LPC_BITS
+PARTS = 8
 U8, U16, U64 = np.uint8, np.uint16, np.uint64
 
 
@@ -96,40 +108,52 @@ def _seektable(sizes: list[int], frame_sizes: list[int]) -> bytes:
 
 
 def encode(payloads: list[bytes]) -> list[bytes]:
-    """A FLAC stream for each payload (at least one byte each)."""
-    if not payloads:
-        return []
-    number, size = [], []
-    for data in payloads:
+    """A FLAC stream for each payload (at least one byte each).  Frames are coded in runs of about RUN bytes, so that the
+    memory taken besides payloads and streams does not grow with them."""
+    frames: list[list[bytes]] = [[] for _ in payloads]
+    sizes: list[list[int]] = [[] for _ in payloads]
+    run: list[tuple[int, int, memoryview]] = []
+    held = 0
+
+    def flush() -> None:
+        size = np.array([len(x) for _, _, x in run])
+        samples = np.frombuffer(b"".join(x for _, _, x in run), np.int8)
+        for (i, _, _), frame, n in zip(run, _encode_frames(samples, size, [number for _, number, _ in run]), size.tolist()):
+            frames[i].append(frame)
+            sizes[i].append(n)
+
+    for i, data in enumerate(payloads):
         if not data:
             raise FlacError("a stream has at least one sample")
-        for i in range(0, len(data), BLOCK):
-            number.append(i // BLOCK)
-            size.append(min(BLOCK, len(data) - i))
-    frames = _encode_frames(np.frombuffer(b"".join(payloads), np.int8), np.array(size), number)
-    out, k = [], 0
-    for data in payloads:
-        n = -(-len(data) // BLOCK)
-        mine = frames[k : k + n]
-        lengths = [len(f) for f in mine]
-        out.append(b"".join([MAGIC, _streaminfo(len(data), hashlib.md5(data).digest(), lengths), _seektable(size[k : k + n], lengths), *mine]))
-        k += n
+        view = memoryview(data)
+        for at in range(0, len(data), BLOCK):
+            run.append((i, at // BLOCK, view[at : at + BLOCK]))
+            held += len(run[-1][2])
+            if held >= RUN:
+                flush()
+                run, held = [], 0
+    if run:
+        flush()
+    out = []
+    for i, data in enumerate(payloads):
+        lengths = [len(f) for f in frames[i]]
+        out.append(b"".join([MAGIC, _streaminfo(len(data), hashlib.md5(data).digest(), lengths), _seektable(sizes[i], lengths), *frames[i]]))
+        frames[i] = []
     return out
 
 
-def _encode_frames(samples: np.ndarray, size: np.ndarray, number: list[int]) -> list[bytes]:
-    count = len(size)
-    start = np.concatenate([[0], np.cumsum(size)[:-1]])
-    frame = np.repeat(np.arange(count), size)
-    place = np.arange(len(samples)) - start[frame]
-    sums = lambda v: np.add.reduceat(v, start)
+def _sums(v: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(v, start, dtype=np.int64)
+
+
+def _fixed(samples: np.ndarray, size: np.ndarray, start: np.ndarray, frame: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(zigzag residuals, order) of the best fixed predictor of each frame, 0 in the warm-up."""
     residual = samples.astype(np.int32)
-    best, best_cost, order = None, None, np.zeros(count, int)
-    # residuals of order p are valid from sample p on; earlier ones are the warm-up and cost nothing here
+    best, best_cost, order = None, None, np.zeros(len(size), int)
     for p in range(FIXED_ORDERS):
-        zigzag = (residual << 1 ^ residual >> 31).astype(np.int64)
+        zigzag = residual << 1 ^ residual >> 31
         zigzag[place < p] = 0
-        cost = sums(zigzag)
+        cost = _sums(zigzag, start)
         if best is None:
             best, best_cost = zigzag, cost
         else:
@@ -138,16 +162,94 @@ def _encode_frames(samples: np.ndarray, size: np.ndarray, number: list[int]) ->
             best_cost = np.where(better, cost, best_cost)
             best = np.where(better[frame], zigzag, best)
         residual = np.concatenate([residual[:1], np.diff(residual)])
-    coded = size - order
-    guess = np.clip(np.log2(np.maximum(best_cost / np.maximum(coded, 1), 1)).astype(int), 0, RICE_MOST)
+    return best, order
+
+
+def _linear(samples: np.ndarray, start: np.ndarray, frame: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(zigzag residuals, coefficients by order and frame, shifts) of a predictor of LPC_ORDER for each frame: Levinson's
+    recursion on the autocorrelation, rounded to LPC_BITS."""
+    x = samples.astype(np.float32)
+    lags = []
+    for lag in range(LPC_ORDER + 1):
+        product = x * np.concatenate([np.zeros(lag, np.float32), x])[: len(x)]
+        product[place < lag] = 0
+        lags.append(np.add.reduceat(product, start, dtype=np.float64))
+    r = np.array(lags)
+    error = r[0] * (1 + 1e-9) + 1e-9
+    a = np.zeros((LPC_ORDER, len(start)))
+    for m in range(LPC_ORDER):
+        reflection = (r[m + 1] - (a[:m] * r[m:0:-1]).sum(0)) / error
+        a[:m] = a[:m] - reflection * a[:m][::-1]
+        a[m] = reflection
+        error = np.maximum(error * (1 - reflection**2), 1e-9)
+    most = (1 << LPC_BITS - 1) - 1
+    shift = np.clip(LPC_BITS - 2 - np.floor(np.log2(np.maximum(np.abs(a).max(0), 1e-3))), 0, 15).astype(np.int64)
+    q = np.clip(np.round(a * (1 << shift)), -most, most).astype(np.int32)
+    predicted = np.zeros(len(samples), np.int32)
+    whole = samples.astype(np.int32)
+    for m in range(LPC_ORDER):
+        predicted[m + 1 :] += q[m][frame[m + 1 :]] * whole[: max(0, len(whole) - m - 1)]
+    residual = whole - (predicted >> shift.astype(np.int32)[frame])
+    zigzag = residual << 1 ^ residual >> 31
+    zigzag[place < LPC_ORDER] = 0
+    return zigzag, q, shift
+
+
+def _rice(zigzag: np.ndarray, start: np.ndarray, coded: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(parameter, bits) for runs of residuals that begin at ``start`` and hold ``coded`` of them."""
+    mean = _sums(zigzag, start) / np.maximum(coded, 1)
+    guess = np.clip(np.log2(np.maximum(mean, 1)).astype(int), 0, RICE_MOST)
     rice, bits = guess, None
     for k in (guess - 1, guess, guess + 1):
         k = np.clip(k, 0, RICE_MOST)
-        now = sums(best >> k[frame]) + coded * (1 + k)
+        now = _sums(zigzag >> k.astype(np.int32)[owner], start) + coded * (1 + k)
         rice, bits = (k, now) if bits is None else (np.where(now < bits, k, rice), np.minimum(now, bits))
-    bits = bits + order * 8 + 2 + 4 + 4
+    return rice, bits
+
+
+def _encode_frames(samples: np.ndarray, size: np.ndarray, number: list[int]) -> list[bytes]:
+    count = len(size)
+    start = np.concatenate([[0], np.cumsum(size)[:-1]])
+    frame = np.repeat(np.arange(count, dtype=np.int32), size)
+    place = (np.arange(len(samples)) - start[frame]).astype(np.int32)
+    best, order = _fixed(samples, size, start, frame, place)
+    rice, bits = _rice(best, start, size - order, frame)
+    bits = bits + order * 8 + 6 + 4
+    # a linear predictor, where it is shorter with its coefficients
+    zigzag, coefficients, shift = _linear(samples, start, frame, place)
+    rice_l, bits_l = _rice(zigzag, start, np.maximum(size - LPC_ORDER, 0), frame)
+    bits_l = bits_l + LPC_ORDER * 8 + LPC_HEAD + 6 + 4
+    lpc = (size > LPC_ORDER) & (bits_l < bits)
+    best = np.where(lpc[frame], zigzag, best)
+    order, rice, bits = np.where(lpc, LPC_ORDER, order), np.where(lpc, rice_l, rice), np.where(lpc, bits_l, bits)
+    del zigzag
+    # whole blocks in PARTS partitions with a parameter each, where that is shorter
+    pieces = np.where(size == BLOCK, PARTS, 1)
+    first_piece = np.concatenate([[0], np.cumsum(pieces)[:-1]])
+    piece_frame = np.repeat(np.arange(count), pieces)
+    inner = np.arange(len(piece_frame)) - first_piece[piece_frame]
+    piece_start = start[piece_frame] + inner * (BLOCK // PARTS)
+    piece_size = np.where(pieces == 1, size, BLOCK // PARTS)[piece_frame] - np.where(inner == 0, order[piece_frame], 0)
+    piece = np.repeat(np.arange(len(piece_frame), dtype=np.int32), np.diff(np.append(piece_start, len(samples))))
+    rice_p, bits_p = _rice(best, piece_start, piece_size, piece)
+    # raw numbers where those are shorter than Rice codes: none at all for residuals that are all 0
+    top = np.maximum.reduceat(best, piece_start)
+    raw_bits = np.ceil(np.log2(top + 1.0)).astype(int)
+    raw = raw_bits * piece_size + 5 < bits_p
+    bits_p = np.where(raw, raw_bits * piece_size + 5, bits_p) + 4
+    split_bits = np.add.reduceat(bits_p, first_piece) + order * 8 + 6 + np.where(lpc, LPC_HEAD, 0)
+    split = split_bits < bits
+    bits = np.minimum(bits, split_bits)
+    on = split[piece_frame]
+    raw &= on
+    low_bits = np.where(raw, raw_bits, np.where(on, rice_p, rice[piece_frame]))
+    # bits of the parameters that stand before the residuals of a piece, all earlier ones of its frame included
+    own = np.where(on | (inner == 0), np.where(raw, 9, 4), 0)
+    upto = np.cumsum(own)
+    ahead = upto - (upto - own)[first_piece][piece_frame]
+
     first = samples[start]
-    constant = sums((samples != first[frame]).astype(np.int64)) == 0
+    constant = _sums(samples != first[frame], start) == 0
     verbatim = ~constant & (bits >= size * 8)
     body_bits = 8 + np.where(constant, 8, np.where(verbatim, size * 8, bits))
     heads = [_frame_header(i, int(n)) for i, n in zip(number, size)]
@@ -160,32 +262,52 @@ def _encode_frames(samples: np.ndarray, size: np.ndarray, number: list[int]) ->
     out[where] = heads_all
     out[at + head_size - 1] = _crcs(out, at, head_size - 1, CRC8, 8)
     body = at + head_size
-    kind = np.where(constant, 0, np.where(verbatim, 1, 8 + order))
-    out[body] = kind << 1
-    raw = samples.view(U8)
+    out[body] = np.where(constant, 0, np.where(verbatim, 1, np.where(lpc, 31 + LPC_ORDER, 8 + order))) << 1
+    unsigned = samples.view(U8)
     out[body[constant] + 1] = first.view(U8)[constant]
     plain = verbatim[frame] | ((place < order[frame]) & ~constant[frame])
-    out[(body[frame] + 1 + place)[plain]] = raw[plain]
+    out[(body[frame] + 1 + place)[plain]] = unsigned[plain]
     riced = ~(constant | verbatim)
     if riced.any():
-        # the Rice section of a frame starts on a byte: 2 bits method, 4 bits partition order, 4 bits parameter
+        bit = np.zeros(len(out) * 8, U8)
+
+        def put(pos: np.ndarray, value: np.ndarray, n: int) -> None:
+            for j in range(n):
+                bit[pos + j] = value >> (n - 1 - j) & 1
+
+        # after the warm-up: the predictor's head, 2 bits of method, 4 of partition order, then pieces
         section = (body + 1 + order) * 8
+        l = np.flatnonzero(riced & lpc)
+        put(section[l], np.full(len(l), LPC_BITS - 1), 4)
+        put(section[l] + 4, shift[l], 5)
+        for m in range(LPC_ORDER):
+            put(section[l] + 9 + m * LPC_BITS, coefficients[m][l], LPC_BITS)
+        section = section + np.where(lpc, LPC_HEAD, 0)
+        parted = riced & split & (pieces > 1)
+        put(section[parted] + 2, np.full(int(parted.sum()), PARTS.bit_length() - 1), 4)
         mine = riced[frame] & (place >= order[frame])
-        value, f = best[mine], frame[mine]
-        k = rice[f]
-        quotient = value >> k
-        length = quotient + 1 + k
+        value, f, k = best[mine], frame[mine], piece[mine]
+        low, bare = low_bits.astype(np.int32)[k], raw[k]
+        quotient = np.where(bare, 0, value >> low)
+        length = quotient + low + ~bare
         ends = np.cumsum(length)
-        lead = np.zeros(count, np.int64)
-        lead[riced] = np.concatenate([[0], ends[np.cumsum(coded[riced]) - 1][:-1]])
-        pos = section[f] + 10 + ends - length - lead[f] + quotient
-        bit = np.zeros(len(out) * 8, U8)
-        bit[pos] = 1
-        for j in range(4):
-            bit[section[riced] + 6 + j] = rice[riced] >> (3 - j) & 1
-        for j in range(int(k.max(initial=0))):
-            has = k > j
-            bit[(pos + 1 + j)[has]] = (value >> np.maximum(k - 1 - j, 0) & 1)[has]
+        # where the residuals of each frame, and of each piece, begin among all of them
+        coded = np.where(riced, size - order, 0)
+        lead = np.concatenate([[0], ends])[np.cumsum(coded) - coded]
+        pos = section[f] + 6 + ahead[k] + ends - length - lead[f]
+        head = np.flatnonzero(riced[piece_frame] & (own > 0))
+        piece_coded = np.where(riced[piece_frame], piece_size, 0)
+        before = np.concatenate([[0], ends])[np.cumsum(piece_coded) - piece_coded] - lead[piece_frame]
+        head_at = section[piece_frame] + 6 + ahead - own + before
+        put(head_at[head], np.where(raw, 15, low_bits)[head], 4)
+        put(head_at[raw & riced[piece_frame]] + 4, low_bits[raw & riced[piece_frame]], 5)
+        stop = ~bare
+        bit[(pos + quotient)[stop]] = 1
+        value = np.where(bare, value >> 1 ^ -(value & 1), value)
+        pos = pos + quotient + stop
+        for j in range(int(low.max(initial=0))):
+            has = low > j
+            bit[(pos + j)[has]] = value[has] >> low[has] - 1 - j & 1
         out |= np.packbits(bit)
     crc = _crcs(out, at, total - 2, CRC16, 16)
     out[at + total - 2], out[at + total - 1] = crc >> 8, crc & 0xFF
@@ -212,6 +334,8 @@ class _Info:
     rate: int
     seek: list[tuple[int, int]]
     frames_at: int
+    block: int
+    most: int
 
 
 def _metadata(data: bytes) -> _Info:
@@ -228,13 +352,14 @@ def _metadata(data: bytes) -> _Info:
             if packed >> 41 & 7 or (packed >> 36 & 31) != 7:
                 raise FlacError("only mono streams of 8-bit samples are read")
             info = (packed & (1 << 36) - 1, body[18:34], packed >> 44)
+            block, most = int.from_bytes(body[2:4], "big"), int.from_bytes(body[7:10], "big")
         elif kind == 3:
             points = [(int.from_bytes(body[i : i + 8], "big"), int.from_bytes(body[i + 8 : i + 16], "big")) for i in range(0, n, 18)]
             seek = [x for x in points if x[0] != 2**64 - 1]
         at += 4 + n
     if info is None:
         raise FlacError("no STREAMINFO")
-    return _Info(*info, seek, at)
+    return _Info(*info, seek, at, block, most)
 
 
 class _Bits:
@@ -395,13 +520,18 @@ def _decode_predicted(bits: _Bits, pos: np.ndarray, size: np.ndarray, order: np.
             out[:, w] = _integrate(out[:, w].astype(np.int64), p)
     if lpc.any():
         w = np.flatnonzero(lpc)
-        x = out[:, w].astype(np.int64)
-        deep = int(order[w].max())
-        for t in range(1, steps):
-            seen = min(deep, t)
-            predicted = np.einsum("if,if->f", coefficient[:seen, w], x[t - 1 :: -1][:seen]) >> np.maximum(shift[w], 0)
-            x[t] += np.where(t >= order[w], predicted, 0)
-        out[:, w] = x
+        # rows of zeros stand before the first sample; coefficients of the oldest sample come first
+        deep, lowest = int(order[w].max()), int(order[w].min())
+        x = np.concatenate([np.zeros((deep, len(w)), np.int32), out[:, w]])
+        c, down, begins = coefficient[:deep, w][::-1].astype(np.int32), np.maximum(shift[w], 0).astype(np.int32), order[w]
+        wide_sums = int(np.abs(coefficient[:, w]).sum(0).max()) >= 1 << 24
+        c = c.astype(np.int64) if wide_sums else c
+        for t in range(lowest, steps):
+            predicted = (c * x[t : t + deep]).sum(0, dtype=c.dtype) >> down
+            if t < deep:
+                predicted = np.where(t >= begins, predicted, 0)
+            x[t + deep] += predicted.astype(np.int32)
+        out[:, w] = x[deep:]
     return out, pos
 
 
@@ -419,28 +549,82 @@ def _integrate(x: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
-def decode(streams: list[bytes]) -> list[Stream]:
-    """Read streams back, all frames that their seek tables name together; others frame after frame."""
+@dataclass
+class Block:
+    """A block of a stream: which stream, its place there in blocks, samples and bytes, and its samples."""
+
+    stream: int
+    number: int
+    sample_offset: int
+    n_samples: int
+    byte_offset: int
+    pcm: bytes
+    sample_rate: int
+    last: bool
+
+
+def blocks(streams: list[bytes]) -> Iterator[Block]:
+    """The blocks of the streams, in order.  Frames that seek tables name are decoded in runs of about READ_RUN samples, over
+    streams; others frame after frame.  A stream's MD5 is verified before its last block is given out."""
     infos = [_metadata(s) for s in streams]
-    base = np.concatenate([[0], np.cumsum([len(s) for s in streams])[:-1]]).astype(np.int64) if streams else np.empty(0, np.int64)
-    data = np.frombuffer(b"".join(streams), U8)
-    found: list[list[tuple[int, int, int, np.ndarray]]] = [[] for _ in streams]
-    have = [0] * len(streams)
-    todo = [(i, int(base[i]) + x.frames_at + (o or 0)) for i, x in enumerate(infos) for o in ([s[1] for s in x.seek] or [0]) if x.total]
-    while todo:
-        out, size, number, end = _decode_frames(data, np.array([a for _, a in todo]))
-        ends = {}
-        for f, (i, a) in enumerate(todo):
-            found[i].append((int(number[f]), int(size[f]), a - int(base[i]), out[: size[f], f].astype(np.int8)))
-            have[i] += int(size[f])
-            ends[i] = max(ends.get(i, 0), int(end[f]))
-        todo = [(i, e) for i, e in ends.items() if have[i] < infos[i].total and e < base[i] + len(streams[i])]
-    result = []
-    for info, frames in zip(infos, found):
-        frames.sort(key=lambda x: x[2])
-        pcm = b"".join(x[3].tobytes() for x in frames)
-        if len(pcm) != info.total or (any(info.md5) and hashlib.md5(pcm).digest() != info.md5):
+    known = [sorted({x.frames_at + o for _, o in x.seek}) or [x.frames_at] for x in infos]
+    # each stream's frames up to the next known one, at most as long as the stream says
+    spans: list[tuple[int, int, int]] = []
+    for i, (s, x) in enumerate(zip(streams, infos)):
+        ends = [*known[i][1:], len(s)]
+        spans += [(i, a, min(e, a + x.most) if x.most else e) for a, e in zip(known[i], ends) if x.total]
+    md5 = [hashlib.md5() for _ in streams]
+    have, cursor = [0] * len(streams), [x.frames_at for x in infos]
+    number = [0] * len(streams)
+
+    def give(i: int, a: int, pcm: bytes, end: int) -> Block:
+        md5[i].update(pcm)
+        at, have[i], cursor[i] = have[i], have[i] + len(pcm), end
+        last = have[i] >= infos[i].total
+        if have[i] > infos[i].total or (last and any(infos[i].md5) and md5[i].digest() != infos[i].md5):
             raise FlacError("the samples do not match STREAMINFO")
-        starts = np.concatenate([[0], np.cumsum([x[1] for x in frames])])
-        result.append(Stream(pcm, [(int(s), x[1], x[2]) for s, x in zip(starts, frames)], info.rate))
-    return result
+        number[i] += 1
+        return Block(i, number[i] - 1, at, len(pcm), a, pcm, infos[i].rate, last)
+
+    def gap(i: int, until: int) -> Iterator[Block]:
+        """Frames that no seek table names."""
+        while cursor[i] < until and have[i] < infos[i].total:
+            a = cursor[i]
+            pcm, n = _run(streams, [(i, a, min(len(streams[i]), a + infos[i].most) if infos[i].most else len(streams[i]))])[0]
+            yield give(i, a, pcm, a + n)
+
+    at = 0
+    while at < len(spans):
+        end, held = at, 0
+        while end < len(spans) and held < READ_RUN:
+            held += max(infos[spans[end][0]].block, spans[end][2] - spans[end][1])
+            end += 1
+        for (i, a, _), (pcm, n) in zip(spans[at:end], _run(streams, spans[at:end])):
+            yield from gap(i, a)
+            if cursor[i] != a:
+                raise FlacError("a seek point is no frame")
+            yield give(i, a, pcm, a + n)
+            if a == known[i][-1]:
+                yield from gap(i, len(streams[i]))
+                if have[i] != infos[i].total:
+                    raise FlacError("the samples do not match STREAMINFO")
+        at = end
+
+
+def _run(streams: list[bytes], spans: list[tuple[int, int, int]]) -> list[tuple[bytes, int]]:
+    """(samples, bytes taken) of the frames that begin the given spans of streams."""
+    parts = [memoryview(streams[i])[a:e] for i, a, e in spans]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in parts])[:-1]]).astype(np.int64)
+    out, size, _, end = _decode_frames(np.frombuffer(b"".join(parts), U8), at)
+    rows = np.ascontiguousarray(out.T.astype(np.int8))
+    return [(rows[f, :n].tobytes(), int(e - a)) for f, (n, e, a) in enumerate(zip(size.tolist(), end.tolist(), at.tolist()))]
+
+
+def decode(streams: list[bytes]) -> list[Stream]:
+    """Read streams back as a whole."""
+    pcm: list[list[bytes]] = [[] for _ in streams]
+    found: list[list[tuple[int, int, int]]] = [[] for _ in streams]
+    for b in blocks(streams):
+        pcm[b.stream].append(b.pcm)
+        found[b.stream].append((b.sample_offset, b.n_samples, b.byte_offset))
+    return [Stream(b"".join(p), f, _metadata(s).rate) for p, f, s in zip(pcm, found, streams)]
