@@ -155,8 +155,13 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     kind = docs.schema["doc_id"].dataType.simpleString()
     if not sizes:
         return docs.sparkSession.createDataFrame([], f"k1 long, k2 long, doc_id {kind}, item_id {bench.schema['item_id'].dataType.simpleString()}, start_word long, n_words long, hamming int, similarity double")
-    tagged = lambda k: F.transform(shingle_array(F.col("hashes"), k), lambda h, i: F.struct(F.lit(k).alias("size"), i.alias("pos"), h.alias("h")))
-    each = hashed.select("k1", "k2", F.size("hashes").alias("words"), F.explode(F.concat(*[tagged(k) for k in sizes])).alias("s")).select("k1", "k2", "words", "s.size", "s.pos", "s.h")
+    # the shingles of all sizes in one array, one size after another: a place in it gives size and position
+    each = hashed.select("k1", "k2", F.size("hashes").alias("words"), F.posexplode(F.concat(*[shingle_array(F.col("hashes"), k) for k in sizes])).alias("at", "h"))
+    size, pos, begin = F.lit(sizes[0]), F.col("at"), F.lit(0)
+    for before, k in zip(sizes, sizes[1:]):
+        begin = begin + F.greatest(F.lit(0), F.col("words") - before + 1)
+        size, pos = F.when(F.col("at") >= begin, k).otherwise(size), F.when(F.col("at") >= begin, F.col("at") - begin).otherwise(pos)
+    each = each.select("k1", "k2", "words", size.alias("size"), pos.alias("pos"), "h")
     spots = each.join(F.broadcast(keys) if few else keys, ["size", "h"]).drop("h")
     # Most documents share a few phrases with some item: the whole document must hold enough of the item first.
     spots = cut(spots.select("k1", "k2", "words", "pos", "size", "i1", "i2", "n_words", "n").distinct(), "shared-shingles")
