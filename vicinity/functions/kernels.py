@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+from statistics import NormalDist
 
 import numpy as np
+import pyarrow as pa
 
 from .native import EPS, round_up_power_of_2
 
 SIGNATURE_WORDS = 16
-SIGNATURE_SEED = 48186816
-TREE_SEED = 39393
+SIGNATURE_SEED = 11
+TREE_SEED = 7
 SPLIT = 8
 SLOTS = 2 * SPLIT + 1
 
@@ -100,29 +102,82 @@ def from_bf16(codes: np.ndarray) -> np.ndarray:
     return (codes.view(np.uint16).astype(np.uint32) << np.uint32(16)).view(np.float32).astype(float)
 
 
-def pruning_slack(bits: int, k: int = 100) -> int:
-    """How far below the k-th best count a candidate may stay: 2.326 binomial deviations at p = k / bits, at most 23 %."""
-    p = k / bits
-    return min(int(0.23 * bits), int(2.326348 * (p * (1 - p) / bits) ** 0.5 * bits))
-
-
-def prune(votes: np.ndarray, sig: np.ndarray, query: np.ndarray, k: int = 100, first: int = 2, step: int = 2) -> np.ndarray:
-    """Progressive pruning of one query's candidates: counts are votes plus overlaps of ever more signature words; after
-    each round only counts within the slack of the k-th best stay.  Returns kept positions."""
-    keep, words = np.arange(len(votes)), first
-    counts = votes + overlaps(sig, query, 0, first)
-
-    def threshold() -> int:
-        if len(counts) < k:
-            return 1
-        return max(1, int(np.partition(counts, len(counts) - k)[len(counts) - k]) - pruning_slack(64 * words, k))
-
-    low = threshold()
-    while words < sig.shape[1] and (counts >= low).sum() > k:
-        on = counts >= low
-        keep, counts = keep[on], counts[on]
-        end = min(words + step, sig.shape[1])
-        counts = counts + overlaps(sig[keep], query, words, end)
-        words = end
-        low = threshold()
-    return keep[counts >= low]
+def matrix(column: pa.Array) -> np.ndarray:
+    """The rows of an array column of vectors of one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+#: How vectors are stored: what one component takes, in bytes.
+STORAGES = {"double": 8, "float": 4, "bf16": 2, "byte": 1}
+
+
+def encode_vectors(x: np.ndarray, storage: str) -> bytes:
+    """The rows of x.  "byte" keeps each row's least value and step, then codes of 0 to 255."""
+    if storage == "byte":
+        low, high = (f(1, keepdims=True) for f in (x.min, x.max)) if x.size else (np.zeros((0, 1)), np.zeros((0, 1)))
+        step = np.where(high > low, (high - low) / 255, 1.0)
+        codes = np.clip(np.floor((x - low) / step + 0.5), 0, 255).astype(np.uint8)
+        return np.concatenate([low, step], axis=1).astype(np.float32).tobytes() + codes.tobytes()
+    if storage == "bf16":
+        return to_bf16(x).tobytes()
+    return x.astype({"double": np.float64, "float": np.float32}[storage]).tobytes()
+
+
+def decode_vectors(data, dim: int, storage: str) -> np.ndarray:
+    """The rows that ``encode_vectors`` stored: doubles as doubles, all others as 32-bit floats."""
+    if storage == "byte":
+        n = len(data) // (dim + 8)
+        ranges = np.frombuffer(data, np.float32, 2 * n).reshape(n, 2)
+        return ranges[:, :1] + ranges[:, 1:] * np.frombuffer(data, np.uint8, n * dim, 8 * n).reshape(n, dim)
+    if storage == "bf16":
+        return from_bf16(np.frombuffer(data, np.int16)).astype(np.float32).reshape(-1, dim)
+    return np.frombuffer(data, {"double": np.float64, "float": np.float32}[storage]).reshape(-1, dim)
+
+
+def scores(x: np.ndarray, q: np.ndarray, exactly: bool = True) -> np.ndarray:
+    """Cosines of the unit vector q with the rows of x: products, or 1 - |x - q|^2 / 2 for rows that storage has left
+    not quite of unit length."""
+    if exactly:
+        return x @ q
+    return 1 - ((x - q) ** 2).sum(1) / 2
+
+
+#: The quantile of the normal distribution that one candidate in a hundred at the cut falls short of.
+SLACK_QUANTILE = NormalDist().inv_cdf(0.99)
+
+
+def pruning_slack(count: float, bits: int) -> int:
+    """How far below a count of equal bits the count of as good a candidate may fall by chance: its bits agree with
+    probability count / bits each, so the count of ``bits`` of them is binomial."""
+    p = min(max(count / bits, 0.0), 1.0)
+    return int(SLACK_QUANTILE * (bits * p * (1 - p)) ** 0.5)
+
+
+def threshold(counts: np.ndarray, keep: int, bits: int | None = None) -> int:
+    """The ``keep``-th best count, less the slack of a count of ``bits`` bits if that is given; 1 at least, and 1 where
+    there are fewer counts."""
+    if len(counts) < keep:
+        return 1
+    kth = int(np.partition(counts, len(counts) - keep)[len(counts) - keep])
+    return max(1, kth - (pruning_slack(kth, bits) if bits else 0))
+
+
+def prune(votes: np.ndarray, signatures: np.ndarray, rows: np.ndarray, query: np.ndarray, keep: int, step: int = 4) -> np.ndarray:
+    """Progressive pruning of one query's candidates, the ``rows`` of ``signatures``: counts are votes plus overlaps of
+    ever more signature words; after each round only counts within the slack of the keep-th best stay, after the last
+    one those that reach it.  Returns kept positions, ``keep`` at least."""
+    sig, words = signatures[rows], signatures.shape[1]
+    left, counts = np.arange(len(rows)), votes
+    for start in range(0, words, step):
+        if len(left) <= keep:
+            break
+        end = min(start + step, words)
+        counts = counts + overlaps(sig[left], query, start, end)
+        on = counts >= threshold(counts, keep, 64 * end if end < words else None)
+        left, counts = left[on], counts[on]
+    return left
+
+
+def prune_at_once(votes: np.ndarray, signatures: np.ndarray, rows: np.ndarray, query: np.ndarray, keep: int) -> np.ndarray:
+    """The same with all words in one round."""
+    return prune(votes, signatures, rows, query, keep, signatures.shape[1])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,6 +82,12 @@ def largest_power_of_2(n: int) -> int:
     return 1 << n.bit_length() - 1
 
 
+def pruning_slack(count: Column, bits: int) -> Column:
+    """``kernels.pruning_slack`` as an expression."""
+    p = F.least(F.greatest(count / bits, F.lit(0.0)), F.lit(1.0))
+    return F.floor(F.lit(NormalDist().inv_cdf(0.99)) * F.sqrt(bits * p * (1 - p))).cast("long")
+
+
 def is_power_of_2(n: int) -> bool:
     return n > 0 and n & n - 1 == 0
 

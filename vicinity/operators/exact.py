@@ -13,11 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vicinity.functions import native
+from vicinity.functions import kernels, native
+from vicinity.scratch import written
 
 #: Queries that go to every partition of the items at once, packed in one row.
 QUERY_BLOCK = 1024
 ITEM_BATCH = 2048
+#: Queries that the expression forms of search send to every task.
+MOST_BROADCAST = 4096
 
 
 def _check_k(k: int) -> None:
@@ -31,10 +34,19 @@ def rank_within(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "row_id", "cosine")
 
 
+def with_few(queries: DataFrame, name: str) -> DataFrame:
+    """A stated, small set of queries for a broadcast: counted, and refused beyond ``MOST_BROADCAST`` of them, for which
+    ``brute_force`` is the way."""
+    queries = written(queries, name)
+    if queries.count() > MOST_BROADCAST:
+        raise ValueError(f"more than {MOST_BROADCAST} queries: use brute_force, which sends them in blocks")
+    return F.broadcast(queries)
+
+
 def scored_pairs(items: DataFrame, queries: DataFrame) -> DataFrame:
-    """All (query, item) cosines as expressions.  For a stated, small set of queries: it is broadcast."""
-    q = queries.select("query_id", F.col("vec").alias("query_vec"))
-    return items.join(F.broadcast(q), F.lit(True)).select("query_id", "row_id", native.cosine_of_unit(F.col("query_vec"), F.col("vec")).alias("cosine"))
+    """All (query, item) cosines as expressions, for a stated, small set of queries."""
+    q = with_few(queries.select("query_id", F.col("vec").alias("query_vec")), "few-queries")
+    return items.join(q, F.lit(True)).select("query_id", "row_id", native.cosine_of_unit(F.col("query_vec"), F.col("vec")).alias("cosine"))
 
 
 def one_query(items: DataFrame, vec: list[float], k: int) -> DataFrame:
@@ -53,7 +65,7 @@ def pack_queries(queries: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, block):
                 part = batch.slice(at, block)
-                vecs = np.array(part.column(1).to_pylist(), float)
+                vecs = kernels.matrix(part.column(1))
                 yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(batch.column(0).type)), pa.array([vecs.tobytes()], pa.binary())], ["ids", "matrix"])
 
     return queries.select("query_id", "vec").mapInArrow(run, f"ids array<{kind}>, matrix binary")
@@ -115,7 +127,7 @@ def pack_items(items: DataFrame, batch: int = ITEM_BATCH) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, batch):
                 part = b.slice(at, batch)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(b.column(0).type)), pa.array([np.array(part.column(1).to_pylist(), float).tobytes()], pa.binary())], ["row_ids", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(b.column(0).type)), pa.array([kernels.matrix(part.column(1)).tobytes()], pa.binary())], ["row_ids", "data"])
 
     return items.select("row_id", "vec").mapInArrow(run, f"row_ids array<{kind}>, data binary")
 
@@ -136,19 +148,20 @@ def decorate(results: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def signature_top_k(items_sig: DataFrame, queries_sig: DataFrame, k: int, bits: int) -> DataFrame:
-    """The k items whose signatures overlap most with each query's, with the cosine that the overlap suggests.  For a
-    stated, small set of queries: it is broadcast."""
+    """The k items whose signatures overlap most with each query's, with the cosine that the overlap suggests, for a stated,
+    small set of queries."""
     _check_k(k)
-    q = queries_sig.select("query_id", F.col("sig").alias("query_sig"))
-    same = items_sig.join(F.broadcast(q), F.lit(True)).select("query_id", "row_id", native.overlap(F.col("query_sig"), F.col("sig")).alias("overlap"))
+    q = with_few(queries_sig.select("query_id", F.col("sig").alias("query_sig")), "few-queries")
+    same = items_sig.join(q, F.lit(True)).select("query_id", "row_id", native.overlap(F.col("query_sig"), F.col("sig")).alias("overlap"))
     order = Window.partitionBy("query_id").orderBy(F.desc("overlap"), "row_id")
     return (same.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "row_id", "overlap", native.estimated_cosine(F.col("overlap"), bits).alias("cosine")))
 
 
-def sample_ids(df: DataFrame, id_col: str, n: int, seed: int = 481868) -> DataFrame:
-    """n rows without replacement, the same ones at every run."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col).limit(n)
+def sample_ids(df: DataFrame, id_col: str, n: int, seed: int = 1) -> DataFrame:
+    """n rows without replacement, the same ones at every run: those with the least digests of seed and id.  Each
+    partition passes on n rows at most."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))), id_col).limit(n)
 
 
 def exclude_self(results: DataFrame) -> DataFrame:

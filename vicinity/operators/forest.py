@@ -1,28 +1,22 @@
-"""Forests of space-partitioning trees: built shard by shard, stored as rows, probed by blocks of queries.
+"""Space-partitioning trees over the rows of one shard: built from projected vectors, probed by blocks of queries.
 
-Items are dealt to shards of at most about ``shard_rows`` by a hash of their id, and each (shard, group of trees) is
-built in one task from the projected vectors of its shard: one shuffle, no loop over levels, no driver decision, and a
-task's memory does not grow with the data.  A tree is one row (packed arrays) and a leaf one row (its row ids), so
-neither a forest nor a leaf table has to fit anywhere as a whole.
+A tree holds its nodes as arrays and its leaves as row positions of the shard, so it packs into one binary value and its
+size is bounded by the shard's.  A block of queries descends a tree together, level by level, as matrix operations, each
+query along its best paths; it takes leaves by descending score until they hold as many points as it wants.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from vicinity.functions import kernels
-from vicinity.scratch import written
 
 LEAF_BOUND = 50
 RETRIES = 10
 NONE = -1
+NOWHERE = np.float32(-np.inf)
 
 
 @dataclass(frozen=True)
@@ -31,34 +25,40 @@ class ForestConf:
     leaf_bound: int = LEAF_BOUND
     max_depth: int | None = None
     seed: int = kernels.TREE_SEED
-    shard_rows: int = 200_000
-    trees_per_task: int = 10
+    shard_rows: int = 24_576
+    trees_per_task: int = 2
     #: "hadamard": 17-way split on random coordinates.  "data": 2-way split on the sign of a product with a data vector.
     strategy: str = "hadamard"
 
 
 class Tree:
-    """Nodes as arrays: children hold a node (>= 0), a leaf (-2 - leaf) or nothing (-1)."""
+    """Nodes as arrays: children hold a node (>= 0), a leaf (-2 - leaf) or nothing (-1).  A child's number is above its
+    parent's.  ``members`` lists the row positions of leaf 0, then of leaf 1, and so on."""
 
-    def __init__(self, projections: np.ndarray, coords: np.ndarray, children: np.ndarray, leaf_counts: np.ndarray):
-        self.projections, self.coords, self.children, self.leaf_counts = projections, coords, children, leaf_counts
+    def __init__(self, projections: np.ndarray, coords: np.ndarray, children: np.ndarray, leaf_counts: np.ndarray, members: np.ndarray):
+        self.projections, self.coords, self.children, self.leaf_counts, self.members = projections, coords, children, leaf_counts, members
+        self.starts = np.concatenate([[0], np.cumsum(leaf_counts)[:-1]]).astype(np.int64) if len(leaf_counts) else np.empty(0, np.int64)
 
     def pack(self) -> bytes:
-        """Header of four sizes, then the arrays."""
+        """Header of five sizes, then the arrays."""
         width = self.projections.shape[1] if len(self.projections) else 0
-        head = np.array([len(self.projections), width, self.children.shape[1] if len(self.children) else 0, len(self.leaf_counts)], np.int64)
-        return b"".join([head.tobytes(), self.projections.astype(np.float64).tobytes(), self.coords.astype(np.int64).tobytes(), self.children.astype(np.int64).tobytes(), self.leaf_counts.astype(np.int64).tobytes()])
+        head = np.array([len(self.projections), width, self.children.shape[1] if len(self.children) else 0, len(self.leaf_counts), len(self.members)], np.int64)
+        parts = [(self.projections, np.float64), (self.coords, np.int32), (self.children, np.int32), (self.leaf_counts, np.int32), (self.members, np.int32)]
+        return head.tobytes() + b"".join(x.astype(kind).tobytes() for x, kind in parts)
 
     @staticmethod
     def unpack(data: bytes) -> Tree:
-        n, width, slots, leaves = np.frombuffer(data, np.int64, 4)
-        at, out = 32, []
-        for kind, shape in ((np.float64, (n, width)), (np.int64, (n, width)), (np.int64, (n, slots)), (np.int64, (leaves,))):
+        n, width, slots, leaves, rows = np.frombuffer(data, np.int64, 5).tolist()
+        at, out = 40, []
+        for kind, shape in ((np.float64, (n, width)), (np.int32, (n, width)), (np.int32, (n, slots)), (np.int32, (leaves,)), (np.int32, (rows,))):
             count = int(np.prod(shape))
             out.append(np.frombuffer(data, kind, count, at).reshape(shape))
-            at += 8 * count
+            at += np.dtype(kind).itemsize * count
         return Tree(*out)
 
+    def leaf(self, i: int) -> np.ndarray:
+        return self.members[self.starts[i] : self.starts[i] + self.leaf_counts[i]]
+
 
 def hadamard_split(x: np.ndarray, rows: np.ndarray, key: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(signs, coordinates, slot of each row): eight random coordinates with random signs, signed arg-max."""
@@ -74,21 +74,21 @@ def data_split(x: np.ndarray, rows: np.ndarray, key: tuple, most: int = 256) ->
     chosen = rows[r.permutation(len(rows))[:most]]
     w = ((r.integers(0, 2, len(chosen)) * 2 - 1)[:, None] * x[chosen]).sum(0)
     w = w / (np.sqrt(w @ w) + 1e-3)
-    return w, np.arange(x.shape[1]), (x[rows] @ w >= 0).astype(int)
+    return w, np.arange(x.shape[1]), two_way(x[rows], w)
+
+
+def two_way(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Slot 1 where the product with ``w`` is not negative, else 0."""
+    return (x @ w >= 0).astype(int)
 
 
 SPLITS = {"hadamard": (hadamard_split, kernels.SLOTS), "data": (data_split, 2)}
 
 
-def build_tree(x: np.ndarray, key: tuple, conf: ForestConf) -> tuple[Tree, list[np.ndarray]]:
-    """A tree over the rows of x and its leaves as row positions.  Random choices hang on the node's path only."""
+def build_tree(x: np.ndarray, key: tuple, conf: ForestConf) -> Tree:
+    """A tree over the rows of x.  Random choices hang on the node's path only."""
     split, slots = SPLITS[conf.strategy]
     projections, coords, children, leaves = [], [], [], []
-
-    def leaf(rows: np.ndarray) -> int:
-        leaves.append(rows)
-        return -1 - len(leaves)
-
     # the root is child 0 of a node that does not exist
     todo = [(np.arange(len(x)), (), None, 0)]
     while todo:
@@ -105,102 +105,118 @@ def build_tree(x: np.ndarray, key: tuple, conf: ForestConf) -> tuple[Tree, list[
                     todo += [(rows[at == s], (*path, int(s)), place, int(s)) for s in np.unique(at)[::-1]]
                     break
         if place is None and len(rows):
-            place = leaf(rows)
+            leaves.append(rows)
+            place = -1 - len(leaves)
         if parent is not None:
             children[parent][slot] = place
-    width = conf_width(x, conf)
-    tree = Tree(np.array(projections).reshape(-1, width), np.array(coords).reshape(-1, width), np.array(children).reshape(-1, slots), np.array([len(r) for r in leaves], np.int64))
-    return tree, leaves
+    width = kernels.SPLIT if conf.strategy == "hadamard" else x.shape[1]
+    return Tree(np.array(projections).reshape(-1, width), np.array(coords, int).reshape(-1, width), np.array(children, int).reshape(-1, slots),
+                np.array([len(r) for r in leaves], np.int64), np.concatenate(leaves) if leaves else np.empty(0, np.int64))
 
 
-def conf_width(x: np.ndarray, conf: ForestConf) -> int:
-    return kernels.SPLIT if conf.strategy == "hadamard" else x.shape[1]
+_MATRIX = kernels.hadamard(np.eye(kernels.SPLIT)).astype(np.float32)
 
 
-_MATRIX = kernels.hadamard(np.eye(kernels.SPLIT))
+def _outputs(tree: Tree, q: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """(..., outputs) of nodes (...) for the queries q (..., dim): what decides the child there."""
+    y = np.take_along_axis(q, tree.coords[nodes], -1) * tree.projections[nodes].astype(q.dtype)
+    if tree.children.shape[1] == 2:
+        return y.sum(-1, keepdims=True)
+    return (y @ _MATRIX.astype(q.dtype)) / np.sqrt((y * y).sum(-1, keepdims=True) + q.dtype.type(kernels.EPS))
 
 
-def visit(tree: Tree, q: np.ndarray, required: int, greedy: bool = False) -> list[int]:
-    """Leaves of a tree for one rotated query, best first, until they hold ``required`` points.
+def _gains(o: np.ndarray, slots: int, greedy: bool) -> np.ndarray:
+    """(..., slots): what a path gains by each child; -inf for children that the signs do not lead to.
 
-    The queue is ordered by the sum of |output| along the path over the square root of the depth.  At a node with eight
-    outputs, each output leads to the child of its sign; ``greedy`` takes the child of the largest only.
+    Each of eight outputs leads to the child of its sign and gains its size; ``greedy`` follows the largest only.  Of two
+    children, the one of the product's sign gains the product's size and the other one nothing.
+    """
+    size = np.abs(o)
+    if slots == 2:
+        other = NOWHERE if greedy else np.float32(0)
+        return np.concatenate([np.where(o >= 0, other, size), np.where(o >= 0, size, other)], axis=-1)
+    if greedy:
+        size = np.where(size == size.max(-1, keepdims=True), size, NOWHERE)
+    # a query that is 0 in all eight coordinates goes where such points went
+    none = np.where((o == 0).all(-1, keepdims=True), np.float32(0), NOWHERE)
+    return np.concatenate([np.where(o > 0, size, NOWHERE), np.where(o < 0, size, NOWHERE), none], axis=-1)
+
+
+def home_leaves(tree: Tree, q: np.ndarray) -> np.ndarray:
+    """The leaf where each query would have been put as a point, or -1."""
+    at, home = np.zeros(len(q), np.int64), np.full(len(q), NONE)
+    on = np.arange(len(q)) if len(tree.children) else np.empty(0, np.int64)
+    while len(on):
+        o = _outputs(tree, q[on], at[on])
+        slot = (o[:, 0] >= 0).astype(int) if tree.children.shape[1] == 2 else kernels.slots(o)
+        child = tree.children[at[on], slot]
+        home[on] = np.where(child <= -2, -2 - child, NONE)
+        at[on] = child
+        on = on[child >= 0]
+    return home
+
+
+def _best(score: np.ndarray, n: int) -> np.ndarray:
+    """Columns of the n largest scores of each row, in no order."""
+    return np.argpartition(-score, n - 1, axis=1)[:, :n] if n < score.shape[1] else np.broadcast_to(np.arange(score.shape[1]), score.shape)
+
+
+def ranked_leaves(tree: Tree, q: np.ndarray, width: int, greedy: bool = False) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(leaves, scores, whole): for each query its best leaves in descending order, with NONE and -inf behind them.
+
+    A leaf's score is what its path gains over the square root of its depth.  Each query follows its ``width`` best nodes
+    of every level, all queries at once, so the work does not grow with the tree; ``whole`` says that no path was left.
+    The query's home is always first, so an item finds itself.
     """
-    if len(tree.projections) == 0:
-        return list(range(len(tree.leaf_counts)))
-    two_way = tree.children.shape[1] == 2
-    out, have, turn = [], 0, 0
-    queue = [(0.0, 0, 0.0, 0, 0)]
-    while queue and have < required:
-        _, _, total, depth, at = heapq.heappop(queue)
-        if at <= -2:
-            out.append(-2 - at)
-            have += int(tree.leaf_counts[-2 - at])
-            continue
-        y = q[tree.coords[at]] * tree.projections[at]
-        if two_way:
-            value = float(y.sum())
-            options = [(abs(value), int(value >= 0)), (0.0, int(value < 0))]
-        else:
-            o = _MATRIX @ (y / np.sqrt(y @ y + kernels.EPS))
-            options = [(abs(v), i if v > 0 else i + kernels.SPLIT if v < 0 else 2 * kernels.SPLIT) for i, v in enumerate(o.tolist())]
-        reachable = [(s, int(tree.children[at, slot])) for s, slot in options if tree.children[at, slot] != NONE]
-        if greedy and reachable:
-            reachable = [max(reachable)]
-        for score, child in reachable:
-            turn += 1
-            heapq.heappush(queue, (-(total + score) / (depth + 1) ** 0.5, turn, total + score, depth + 1, child))
-    return out
-
-
-def build_forest(projected: DataFrame, dim: int, conf: ForestConf, rows: int) -> tuple[DataFrame, DataFrame, int]:
-    """(trees, leaves, shards) over (row_id, projected): trees (shard, tree, packed), leaves (shard, tree, leaf, row_ids)."""
-    shards = max(1, -(-rows // conf.shard_rows))
-    groups = -(-conf.trees // conf.trees_per_task)
-    kind = projected.schema["row_id"].dataType.simpleString()
-    dealt = projected.select("row_id", "projected", F.pmod(F.xxhash64("row_id"), F.lit(shards)).cast("int").alias("shard"))
-    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-
-    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        shard, part = key[0].as_py(), key[1].as_py()
-        t = t.sort_by("row_id")  # rows come in any order; trees must not depend on it
-        ids, x = t.column("row_id").combine_chunks(), np.array(t.column("projected").to_pylist(), float)
-        out: list[tuple] = []
-        for tree_id in range(part * conf.trees_per_task, min(conf.trees, (part + 1) * conf.trees_per_task)):
-            tree, leaves = build_tree(kernels.rotate(x, kernels.rotation_signs(dim, tree_id, conf.seed)), (conf.seed, shard, tree_id), conf)
-            out.append((shard, tree_id, NONE, None, tree.pack()))
-            out += [(shard, tree_id, i, ids.take(pa.array(r)).to_pylist(), None) for i, r in enumerate(leaves)]
-        columns = list(zip(*out))
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.list_(ids.type), pa.binary()]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["shard", "tree", "leaf", "row_ids", "packed"])
-
-    both = written(dealt.groupBy("shard", "part").applyInArrow(run, f"shard int, tree int, leaf int, row_ids array<{kind}>, packed binary"), "forest")
-    return both.where(F.col("leaf") == NONE).select("shard", "tree", "packed"), both.where(F.col("leaf") >= 0).select("shard", "tree", "leaf", "row_ids"), shards
-
-
-def visited_leaves(trees: DataFrame, projected_queries: DataFrame, dim: int, conf: ForestConf, shards: int, required: int, greedy: bool = False, block: int = 256) -> DataFrame:
-    """(query_id, shard, tree, leaf): the leaves each query visits in each tree.  Blocks of queries meet trees by an
-    equi-join on (shard, tree); a task holds one tree and one block."""
-    kind = projected_queries.schema["query_id"].dataType.simpleString()
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                p = batch.slice(at, block)
-                yield pa.RecordBatch.from_arrays([pa.array([p.column(0).to_pylist()], pa.list_(p.column(0).type)), pa.array([np.array(p.column(1).to_pylist(), float).tobytes()], pa.binary())], ["ids", "matrix"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, tree_id, packed, ids, matrix in zip(*(batch.column(i) for i in range(5))):
-                tree, ids = Tree.unpack(packed.as_py()), ids.values
-                q = kernels.rotate(np.frombuffer(matrix.as_py()).reshape(len(ids), -1), kernels.rotation_signs(dim, tree_id.as_py(), conf.seed))
-                found = [visit(tree, x, required, greedy) for x in q]
-                n = [len(f) for f in found]
-                total = sum(n)
-                yield pa.RecordBatch.from_arrays([
-                    ids.take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.full(total, shard.as_py(), np.int32)), pa.array(np.full(total, tree_id.as_py(), np.int32)),
-                    pa.array(np.concatenate([np.array(f, np.int32) for f in found]) if total else np.empty(0, np.int32))], ["query_id", "shard", "tree", "leaf"])
-
-    blocks = projected_queries.select("query_id", "projected").mapInArrow(pack, f"ids array<{kind}>, matrix binary")
-    blocks = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(conf.trees - 1))))
-    return trees.join(blocks, ["shard", "tree"]).select("shard", "tree", "packed", "ids", "matrix").mapInArrow(run, f"query_id {kind}, shard int, tree int, leaf int")
+    n, slots = len(q), tree.children.shape[1] if len(tree.children) else 0
+    if not slots:
+        leaves = np.broadcast_to(np.arange(len(tree.leaf_counts)), (n, len(tree.leaf_counts)))
+        return leaves, np.zeros(leaves.shape, np.float32), True
+    home, q = home_leaves(tree, q), q.astype(np.float32)
+    nodes, total = np.zeros((n, 1), np.int64), np.zeros((n, 1), np.float32)
+    found, scores, whole, depth = [home[:, None]], [np.where(home >= 0, np.float32(np.inf), NOWHERE)[:, None]], True, 0
+    while nodes.shape[1]:
+        depth += 1
+        live = np.maximum(nodes, 0)
+        reached = (total[:, :, None] + _gains(_outputs(tree, np.broadcast_to(q[:, None], (*nodes.shape, q.shape[1])), live), slots, greedy)).reshape(n, -1)
+        child = tree.children[live].reshape(n, -1)
+        leaf = np.where((child <= -2) & (-2 - child != home[:, None]), reached, NOWHERE)
+        keep = _best(leaf, min(leaf.shape[1], 2 * width))
+        found.append(-2 - np.take_along_axis(child, keep, 1))
+        scores.append(np.take_along_axis(leaf, keep, 1) / np.float32(depth**0.5))
+        inner = np.where(child >= 0, reached, NOWHERE)
+        most = int((inner > NOWHERE).sum(1).max(initial=0))
+        whole &= most <= width and int((leaf > NOWHERE).sum(1).max(initial=0)) <= keep.shape[1]
+        keep = _best(inner, min(most, width)) if most else np.empty((n, 0), np.int64)
+        nodes, total = np.take_along_axis(child, keep, 1), np.take_along_axis(inner, keep, 1)
+        nodes = np.where(total > NOWHERE, nodes, NONE)
+    leaves, scores = np.concatenate(found, axis=1), np.concatenate(scores, axis=1)
+    order = np.argsort(-scores, axis=1, kind="stable")
+    leaves, scores = np.take_along_axis(leaves, order, 1), np.take_along_axis(scores, order, 1)
+    return np.where(scores > NOWHERE, leaves, NONE), scores, whole
+
+
+def take_leaves(tree: Tree, q: np.ndarray, required: int, greedy: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(query, leaf) pairs, by query and descending score, until a query's leaves hold ``required`` points.  Where the
+    paths followed do not hold them, twice as many are, up to all that the query's signs lead to."""
+    if not len(tree.leaf_counts):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    width = max(8, int(required / tree.leaf_counts.mean()) + 1)
+    while True:
+        leaves, scores, whole = ranked_leaves(tree, q, width, greedy)
+        reached = leaves >= 0
+        counts = np.where(reached, tree.leaf_counts[np.maximum(leaves, 0)], 0).astype(np.int64)
+        held = np.cumsum(counts, axis=1)
+        if whole or (held[:, -1] >= required).all():
+            break
+        width *= 2
+    query, place = np.nonzero(reached & (held - counts < required))
+    return query, leaves[query, place]
+
+
+def points(tree: Tree, query: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row position) of all members of the leaves taken."""
+    counts = tree.leaf_counts[leaf].astype(np.int64)
+    ends = np.cumsum(counts)
+    at = np.repeat(tree.starts[leaf] - ends + counts, counts) + np.arange(int(ends[-1]) if len(ends) else 0)
+    return np.repeat(query, counts), tree.members[at]

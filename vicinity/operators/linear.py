@@ -22,7 +22,7 @@ def _sums(make):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = None, 0
         for batch in batches:
-            x = np.array(batch.column(0).to_pylist(), float)
+            x = kernels.matrix(batch.column(0))
             part = make(x)
             total = part if total is None else total + part
             n += len(x)
@@ -74,7 +74,7 @@ def directions_for(dim: int) -> int:
     return min(MOST_DIRECTIONS, native.largest_power_of_2(dim))
 
 
-def sketched_gram(items: DataFrame, buckets: int = 1000, seed: int = 28841, vec_col: str = "vec", id_col: str = "row_id") -> np.ndarray:
+def sketched_gram(items: DataFrame, buckets: int = 1000, seed: int = 5, vec_col: str = "vec", id_col: str = "row_id") -> np.ndarray:
     """S'S of a row sketch S: every row is added with a random normal weight to one of ``buckets`` rows."""
     weight = F.sqrt(-2 * F.log((F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 40)) + 0.5) / float(1 << 40))) * F.cos(
         2 * np.pi * F.pmod(F.xxhash64(F.lit(seed + 1), F.col(id_col)), F.lit(1 << 40)) / float(1 << 40))
@@ -89,7 +89,7 @@ def project(items: DataFrame, vt: np.ndarray, vec_col: str = "vec", out: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            y = np.array(batch.column(names.index(vec_col)).to_pylist(), float).reshape(batch.num_rows, vt.shape[1]) @ vt.T
+            y = kernels.matrix(batch.column(names.index(vec_col))).reshape(-1, vt.shape[1]) @ vt.T
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(y), pa.list_(pa.float64()))], [*names, out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
@@ -107,7 +107,7 @@ def with_signatures(items: DataFrame, signs: np.ndarray, vec_col: str = "vec", o
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column(names.index(vec_col)).to_pylist(), float).reshape(batch.num_rows, signs.shape[1])
+            x = kernels.matrix(batch.column(names.index(vec_col))).reshape(-1, signs.shape[1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(kernels.signatures(x, signs)), pa.list_(pa.int64()))], [*names, out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
