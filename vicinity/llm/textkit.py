@@ -9,7 +9,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-#: Rows that cross to Python at a time.  Texts can be long, so batches are small.
+#: Rows that a stage sees at a time.  Texts can be long, so batches are small; how many bytes cross to Python at once is
+#: bounded by Spark (64 MB, or one row, by ``spark.sql.execution.arrow.maxBytesPerBatch``).
 BATCH_ROWS = 256
 #: Odd 64-bit constants of the splitmix64 generator.  Fixed values.
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -18,9 +19,12 @@ MIX_2 = np.uint64(0x94D049BB133111EB)
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``df.mapInArrow`` with batches of few rows: one worker holds a few megabytes of text at a time."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(f, schema)
+    """``df.mapInArrow`` with batches cut to few rows: ``f`` turns few texts into Python objects at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return f(batch.slice(at, BATCH_ROWS) for batch in batches for at in range(0, batch.num_rows, BATCH_ROWS))
+
+    return df.mapInArrow(run, schema)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
