@@ -53,3 +53,29 @@ def test_streaming_ingest_sums_and_rejects(spark, tmp_path):
     gram, n = ingest.running_gram(spark, str(tmp_path / "out"))
     assert n == 20 and abs(gram.trace() - 20) < 1e-9
     assert spark.read.parquet(str(tmp_path / "out/rejected")).count() == 1
+
+
+def test_scratch_tables_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from vicinity import scratch
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: {})
+
+    with pytest.raises(ValueError):
+        scratch.shared_dir(Cluster)
+    Cluster.sparkContext.master = "local[4]"
+    assert scratch.shared_dir(Cluster)
+
+
+def test_entry_without_training_operators(monkeypatch):
+    import sys
+
+    import __spark_entry__
+
+    monkeypatch.setitem(sys.modules, "vicinity.llm", None)
+    assert not any(n.startswith("op") for n in __spark_entry__.queries()) and len(__spark_entry__.queries()) > 80
