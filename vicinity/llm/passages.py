@@ -186,16 +186,36 @@ def _similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def _previous(x: np.ndarray) -> np.ndarray:
+    """For each place the last one before it with the same value, or -1."""
+    order = np.argsort(x, kind="stable")
+    out = np.full(len(x), -1)
+    same = x[order[1:]] == x[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
 def _between_runs(a: np.ndarray, b: np.ndarray, place: np.ndarray, other: np.ndarray) -> list[tuple[int, int, int, int, float]]:
     """The longest passages from the start of one run of matched tokens to the end of another, for each start.  Tokens
-    ``place`` of a are ``other`` in b."""
+    ``place`` of a are ``other`` in b.
+
+    For each start, the distinct tokens up to every end are counted at once, on both sides and of those that match: with
+    them no similarity can be higher, so only ends that allow it are compared."""
     edge = np.flatnonzero((np.diff(place) != 1) | (np.diff(other) != 1)) + 1
     first, last = np.concatenate([[0], edge]), np.concatenate([edge, [len(place)]]) - 1
+    before_a, before_b = _previous(a[: place[-1] + 1]), _previous(b[: int(other.max()) + 1])
+    matched = np.zeros(place[-1] + 1, bool)
+    matched[place] = True
     out, reached = [], 0
     for i in first:
-        n, m, hits = place[last] + 1 - place[i], other[last] + 1 - other[i], last + 1 - i
-        fits = (n >= MIN_TOKENS) & (m >= MIN_TOKENS * SIMILARITY) & (place[last] >= reached) & (hits >= SIMILARITY * (n + m - hits))
-        for j in last[fits][::-1]:
+        start, low = int(place[i]), int(other[i])
+        ends = last[(place[last] + 1 - start >= MIN_TOKENS) & (other[last] + 1 - low >= MIN_TOKENS * SIMILARITY) & (place[last] >= reached)]
+        if not len(ends):
+            continue
+        new = before_a[start:] < start
+        n, hits = np.cumsum(new)[place[ends] - start], np.cumsum(new & matched[start:])[place[ends] - start]
+        m = np.cumsum(before_b[low:] < low)[other[ends] - low]
+        for j in ends[hits >= SIMILARITY * (n + m - hits)][::-1]:
             s, e, low, high = int(place[i]), int(place[j]) + 1, int(other[i]), int(other[j]) + 1
             similarity = _similarity(a[s:e], b[low:high])
             if similarity >= SIMILARITY:
