@@ -232,3 +232,50 @@ def test_compact_windows_cover_every_subsequence_once():
             c = i + int(v[i:j + 1].argmin())
             assert [x for x in w if x[0] <= i and j <= x[2] and x[1] == c and i <= c <= j] == [x for x in w if x[0] <= i <= x[1] <= j <= x[2]]
             assert len([x for x in w if x[0] <= i <= x[1] <= j <= x[2]]) == 1
+
+
+def test_windows_of_repeated_tokens_are_few_and_fast():
+    import time
+
+    for values in (np.zeros(150_000, np.uint64), np.tile(np.arange(7, dtype=np.uint64), 20_000)):
+        began = time.time()
+        nodes = passages.compact_windows(values)
+        assert time.time() - began < 5 and len(nodes) < 4 * len(values) / passages.MIN_TOKENS
+        assert all(l <= c <= r and r - l + 1 >= passages.MIN_TOKENS and values[l : r + 1].min() == values[c] for l, c, r in nodes[:: max(1, len(nodes) // 50)])
+
+
+def near_copies(words, r, kind, least=0.8, most=0.85):
+    """The words with edits of one kind, spread so that the similarity of shingle sets is within bounds."""
+    for _ in range(2000):
+        out = list(words)
+        for _ in range(r.randint(1, max(1, len(words) // 30))):
+            at = r.randrange(len(out))
+            if kind == "drop":
+                del out[at]
+            elif kind == "insert":
+                out.insert(at, f"new{r.random()}")
+            else:
+                out[at] = f"new{r.random()}"
+        a, b = (set(zip(*(x[i:] for i in range(5)))) for x in (words, out))
+        if least <= len(a & b) / len(a | b) < most:
+            return out
+    return None
+
+
+def test_near_passages_are_found(spark, docs_of, prose):
+    """Planted passages of 60 to 200 words at similarity 0.8 to 0.85 and 0.85 to 0.9, by all kinds of edits."""
+    r, rows, planted = random.Random(77), [], []
+    for n in (60, 100, 200):
+        for kind in ("change", "insert", "drop"):
+            for bounds in ((0.8, 0.85), (0.85, 0.9)):
+                for k in range(4):
+                    w = prose(r.random(), n).split()
+                    v = near_copies(w, r, kind, *bounds)
+                    if v is None:
+                        continue
+                    i = len(rows)
+                    rows += [(i, " ".join([prose(r.random(), 40), *w, prose(r.random(), 40)])), (i + 1, " ".join([prose(r.random(), 25), *v, prose(r.random(), 60)]))]
+                    planted.append((i, 40, 40 + n))
+    got = spans(docs_of(rows))
+    covered = [sum(max(0, min(e, b) - max(s, a)) for s, e in got.get(i, [])) / (b - a) for i, a, b in planted]
+    assert len(planted) > 50 and sum(c >= 0.8 for c in covered) >= 0.95 * len(planted), sorted(covered)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, discard, pick_rows
+from .common import BROADCAST_IDS, cut, discard, pick_rows
 from .textkit import GOLDEN, lower_words, map_arrow, mix64, shingles
 
 SHINGLE = 5
@@ -49,6 +49,10 @@ SALTS = 32
 MATCHES = 8
 #: The same for stretches of any two lengths: similarity 0.8 takes 4 of 5 tokens of the longer one.
 LEAST_MATCHES = 4
+#: Hits in the shortest such stretch.
+LEAST_HITS = -(-LEAST_MATCHES * MIN_TOKENS // (LEAST_MATCHES + 1))
+#: Tokens beyond which ties in a tree are broken by position.
+MANY_TOKENS = 2000
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -62,7 +66,12 @@ def text_key(text: str | None) -> int:
 
 
 def compact_windows(values: np.ndarray, least: int = MIN_TOKENS) -> list[tuple[int, int, int]]:
-    """The nodes (l, c, r) of the Cartesian tree over ``values`` that span at least ``least`` positions."""
+    """The nodes (l, c, r) of the Cartesian tree over ``values`` that span at least ``least`` positions.  Equal values may
+    stand in any order; in long sequences a hash of their places decides, so that repeated tokens make no chain."""
+    if len(values) > MANY_TOKENS:
+        rank = np.empty(len(values), np.int64)
+        rank[np.lexsort((mix64(np.arange(len(values), dtype=np.uint64)), values))] = np.arange(len(values))
+        values = rank
     out, todo = [], [(0, len(values))] if len(values) >= least else []
     while todo:
         left, end = todo.pop()
@@ -314,24 +323,34 @@ def _block_pairs(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         return tested[pair]
 
     if len(left):
+        # by token, the members that hold it
         flat, owner = np.concatenate([codes[i] for i in left]), np.repeat(np.arange(len(left)), [len(codes[i]) for i in left])
-        where = np.full(int(code.max()) + 1, -1)
+        by_token = np.argsort(flat, kind="stable")
+        holder, begin = owner[by_token], np.searchsorted(flat[by_token], np.arange(int(code.max()) + 2))
         for q in np.flatnonzero(open_side):
-            own, back = np.unique(codes[q], return_inverse=True)
             if len(codes[q]) < MIN_TOKENS:
                 continue
-            where[own] = np.arange(len(own))
-            column = where[flat]
-            where[own] = -1
-            hit = np.zeros((len(left), len(own)), bool)
-            hit[owner[column >= 0], column[column >= 0]] = True
-            score = np.concatenate([np.zeros((len(left), 1), int), np.cumsum(np.where(hit[:, back], 1, -LEAST_MATCHES), axis=1)], axis=1)
+            own, back, times = np.unique(codes[q], return_inverse=True, return_counts=True)
+            n = begin[own + 1] - begin[own]
+            ends = np.cumsum(n)
+            held = holder[np.repeat(begin[own] - ends + n, n) + np.arange(int(ends[-1]))]
+            column = np.repeat(np.arange(len(own)), n)
+            # a stretch takes as many hits at least, however often a member counts for one
+            some = np.flatnonzero((np.bincount(held, times[column], len(left)) >= LEAST_HITS) & (tk[left] != tk[q]))
+            if not len(some):
+                continue
+            row = np.full(len(left), -1)
+            row[some] = np.arange(len(some))
+            hit = np.zeros((len(some), len(own)), bool)
+            on = row[held] >= 0
+            hit[row[held[on]], column[on]] = True
+            score = np.concatenate([np.zeros((len(some), 1), int), np.cumsum(np.where(hit[:, back], 1, -LEAST_MATCHES), axis=1)], axis=1)
             after = np.maximum.accumulate(score[:, ::-1], axis=1)[:, ::-1]
             first = np.arange(min(place[q], len(codes[q]) - MIN_TOKENS) + 1)
             best = (after[:, np.maximum(first + MIN_TOKENS, place[q] + 1)] - score[:, first]).max(1)
-            enough = np.flatnonzero((best >= 0) & (tk[left] != tk[q]))
+            enough = np.flatnonzero(best >= 0)
             enough = enough[np.argsort(-best[enough], kind="stable")]
-            partner = next((p for p in left[enough] if share(q, p)), None)
+            partner = next((p for p in left[some[enough]] if share(q, p)), None)
             if partner is not None:
                 rows.append((q, partner))
     q, p = (np.array([r[k] for r in rows], int) for k in (0, 1))
@@ -355,6 +374,15 @@ def joined_spans(spans: DataFrame) -> DataFrame:
     return _joined(parts.drop("salt"), "tk")
 
 
+def one_of_each(index: DataFrame, texts: DataFrame) -> DataFrame:
+    """``index`` without the copies of a text but the one with the smallest id.  Only texts that have copies are joined:
+    broadcast while they are few (counted), else hashed."""
+    copied = cut(texts.where("copies > 1").select("tk", F.lit(True).alias("copied"), "first_id"), "copied-texts")
+    copied = F.broadcast(copied) if copied.count() <= BROADCAST_IDS else copied.hint("shuffle_hash")
+    kept = F.col("copied").isNull() | F.col("doc_id").eqNullSafe(F.col("first_id"))
+    return index.join(copied, "tk", "left").where(kept).drop("copied", "first_id")
+
+
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start_word, n_words, first_id): the stretches of each document that recur in another one, joined where
     they overlap, with the smallest id of a document known to hold part of the stretch."""
@@ -362,16 +390,18 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kind = docs.schema["doc_id"].dataType.simpleString()
     index = cut(map_arrow(docs, _windows, f"doc_id {kind}, tk long, n_words long, key array<long>, fc array<long>, lr array<long>"), "compact-windows")
     brief = cut(index.select("doc_id", "tk", "n_words"), "documents")
+    texts = cut(brief.where(F.col("n_words") >= MIN_WORDS).groupBy("tk").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n_words").alias("n_words")), "texts")
+    stored, index = index, one_of_each(index, texts)
     shared = index.select(F.explode("key").alias("key"), "tk").groupBy("key").agg(F.min("tk").alias("low"), F.max("tk").alias("high")).where("low <> high").select("key")
     shared = cut(shared, "shared-keys")
     each = index.select("tk", F.explode(F.arrays_zip("key", "fc", "lr")).alias("w")).select("w.key", "tk", "w.fc", "w.lr")
-    hits = cut(each.join(shared.hint("shuffle_hash"), "key", "left_semi").distinct(), "shared-windows")
-    discard(index, shared)
+    # no distinct on top: it would take over the join's partitioning, and a hot key could not be split
+    hits = cut(each.join(shared.hint("shuffle_hash"), "key", "left_semi"), "shared-windows")
+    discard(stored, shared)
     listed = hits.groupBy("tk").agg(*[F.collect_list(c).alias(c) for c in ("key", "fc", "lr")])
     seeds = cut(map_arrow(listed, _segments, "tk long, s long, e long, key long, c long"), "seeds")
     discard(hits)
 
-    texts = cut(brief.where(F.col("n_words") >= MIN_WORDS).groupBy("tk").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n_words").alias("n_words")), "texts")
     segments = cut(seeds.select("tk", "s", "e").distinct(), "segments")
     wanted = segments.select("tk").distinct().join(texts, "tk").select("tk", "first_id")
     token_rows = map_arrow(pick_rows(docs, wanted, "doc_id", "first_id").select("text"), _token_rows, "tk long, tokens binary")
