@@ -51,6 +51,8 @@ MATCHES = 8
 LEAST_MATCHES = 4
 #: Hits in the shortest such stretch.
 LEAST_HITS = -(-LEAST_MATCHES * MIN_TOKENS // (LEAST_MATCHES + 1))
+#: Runs of matches up to which all pairs of them are looked at before tokens are compared.
+MOST_RUNS = 64
 #: Tokens beyond which ties in a tree are broken by position.
 MANY_TOKENS = 2000
 
@@ -204,6 +206,12 @@ def _previous(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _fewest(x: np.ndarray) -> int:
+    """The least number of different values in a window of MIN_TOKENS of x."""
+    before = np.lib.stride_tricks.sliding_window_view(_previous(x), MIN_TOKENS)
+    return int((before < np.arange(len(before))[:, None]).sum(1).min())
+
+
 def _between_runs(a: np.ndarray, b: np.ndarray, place: np.ndarray, other: np.ndarray) -> list[tuple[int, int, int, int, float]]:
     """The longest passages from the start of one run of matched tokens to the end of another, for each start.  Tokens
     ``place`` of a are ``other`` in b.
@@ -234,6 +242,28 @@ def _between_runs(a: np.ndarray, b: np.ndarray, place: np.ndarray, other: np.nda
     return out
 
 
+def _possible(a: np.ndarray, b: np.ndarray, place: np.ndarray, at: np.ndarray, order: np.ndarray) -> bool:
+    """Whether ``shared_stretches`` can find a passage at all.  It has LEAST_HITS common tokens; and if no token repeats,
+    those of a come in the same order in b and none is far off the others' diagonal, every passage spans the matches from
+    one place to another on both sides.  Its similarity is then a matter of counts, and highest where it starts and ends
+    with whole runs of matches, so that all pairs of runs tell."""
+    if len(place) < LEAST_HITS:
+        return False
+    other = at[place]
+    step, jump = np.diff(place), np.diff(other)
+    in_order = b[order]
+    off = other - place
+    if (jump < 1).any() or off.max() - off.min() > MIN_TOKENS or (in_order[1:] == in_order[:-1]).any() or len(np.unique(a)) < len(a):
+        return True
+    edge = np.flatnonzero((step != 1) | (jump != 1)) + 1
+    if len(edge) > MOST_RUNS:
+        return True  # the comparison itself takes no longer than all pairs of so many runs
+    first, last = np.concatenate([[0], edge]), np.concatenate([edge, [len(place)]]) - 1
+    hits = last[None] + 1 - first[:, None]
+    n, m = (x[last][None] - x[first][:, None] + 1 for x in (place, other))
+    return bool(((n >= MIN_TOKENS) & (hits >= SIMILARITY * (n + m - hits) - 1e-9)).any())
+
+
 def shared_stretches(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, float]]:
     """(start in a, end, start in b, end, similarity) of the passages that two token sequences share.
 
@@ -244,6 +274,8 @@ def shared_stretches(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int,
     order = np.argsort(b, kind="stable")
     at = order[np.minimum(np.searchsorted(b, a, sorter=order), len(b) - 1)] if len(b) else np.zeros(len(a), int)
     hit = b[at] == a if len(b) else np.zeros(len(a), bool)
+    if not _possible(a, b, np.flatnonzero(hit), at, order):
+        return []
     out, todo = [], [(*x, True) for x in recurring_stretches(hit)]
     while todo:
         s, e, outer = todo.pop()
@@ -301,10 +333,17 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(place, pa.int64()), pa.array(near, pa.binary())], [*names, "place", "near"])
 
 
-def _block_pairs(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+def _block_groups(_: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    """``_block_pairs`` of each key in a bucket of keys."""
+    t = t.sort_by([("key", "ascending"), ("tk", "ascending"), ("s", "ascending")])  # rows come in any order, and the first partner counts
+    key = t.column("key").to_numpy()
+    edge = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]]).tolist()
+    return pa.concat_tables([_block_pairs(t.slice(a, b - a)) for a, b in zip(edge, edge[1:])])
+
+
+def _block_pairs(t: pa.Table) -> pa.Table:
     """For each open seed of one block pair of one key, a partner around whose seed the open one's tokens recur: 4 of 5
     in a stretch of MIN_TOKENS or more with the seed."""
-    t = t.sort_by([("tk", "ascending"), ("s", "ascending")])  # rows come in any order, and the first partner counts
     near = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("near").combine_chunks()]
     code = np.unique(np.concatenate(near), return_inverse=True)[1]
     ends = np.cumsum([len(x) for x in near])
@@ -348,7 +387,8 @@ def _block_pairs(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
             after = np.maximum.accumulate(score[:, ::-1], axis=1)[:, ::-1]
             first = np.arange(min(place[q], len(codes[q]) - MIN_TOKENS) + 1)
             best = (after[:, np.maximum(first + MIN_TOKENS, place[q] + 1)] - score[:, first]).max(1)
-            enough = np.flatnonzero(best >= 0)
+            # the common tokens, each once, are 4 of 5 of those of the window with the fewest at least
+            enough = np.flatnonzero((best >= 0) & (hit.sum(1) >= SIMILARITY * _fewest(codes[q]) - 1e-9))
             enough = enough[np.argsort(-best[enough], kind="stable")]
             partner = next((p for p in left[some[enough]] if share(q, p)), None)
             if partner is not None:
@@ -456,7 +496,9 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         mine = rest.drop("n").join(open_keys, "key").select("*", every(blocks).alias("i"), place(open_blocks).alias("j"), F.lit(True).alias("open_side"))
         rows = cut(all_.unionByName(mine).select("key", "i", "j", "open_side", *segment, "c"), "block-seeds")
         near = map_arrow(rows.join(tokens_of.drop("e"), ["tk", "s"]), _around, "key long, i int, j int, open_side boolean, tk long, s long, e long, place long, near binary")
-        more = cut(near.groupBy("key", "i", "j").applyInArrow(_block_pairs, "tk long, s long, e long, tk2 long, s2 long, e2 long").distinct(), "block-pairs")
+        # many keys have few members: some hundreds of rows at a time spare a call for each key
+        near = near.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(max(1, rows.count() // BLOCK))))
+        more = cut(near.groupBy("bucket", "i", "j").applyInArrow(_block_groups,"tk long, s long, e long, tk2 long, s2 long, e2 long").distinct(), "block-pairs")
         found = cut(joined_spans(found.unionByName(spans(confirm(more)))), "spans")
 
     # Equal texts are passages as a whole.
