@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's own clean-up of a finished execution's shuffle files.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes that cross to a Python worker at once.  Buffers grow by doubling on both sides, so that Spark's own 64 MB cost an
+#: executor of two cores several hundred.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+MOST_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,15 +34,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read back: lineage ends here, and a lost executor costs nothing that was written.
-    The shuffle files of the write go with it.  The table goes when ``discard`` is called or the driver ends."""
+    The shuffle files of the write go with it, and Arrow batches are small meanwhile.  The table goes when ``discard`` is called or the driver ends."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    wanted = {CLEANUP: "true", BATCH_BYTES: str(MOST_BYTES)}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
