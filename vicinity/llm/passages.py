@@ -53,6 +53,8 @@ LEAST_MATCHES = 4
 LEAST_HITS = -(-LEAST_MATCHES * MIN_TOKENS // (LEAST_MATCHES + 1))
 #: Runs of matches up to which all pairs of them are looked at before tokens are compared.
 MOST_RUNS = 64
+#: Candidates up to which each is compared without a bound on what it can share.
+FEW = 2
 #: Tokens beyond which ties in a tree are broken by position.
 MANY_TOKENS = 2000
 
@@ -206,9 +208,9 @@ def _previous(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fewest(x: np.ndarray) -> int:
-    """The least number of different values in a window of MIN_TOKENS of x."""
-    before = np.lib.stride_tricks.sliding_window_view(_previous(x), MIN_TOKENS)
+def _fewest(x: np.ndarray, size: int = MIN_TOKENS) -> int:
+    """The least number of different values in a window of that size of x."""
+    before = np.lib.stride_tricks.sliding_window_view(_previous(x), size)
     return int((before < np.arange(len(before))[:, None]).sum(1).min())
 
 
@@ -264,6 +266,36 @@ def _possible(a: np.ndarray, b: np.ndarray, place: np.ndarray, at: np.ndarray, o
     return bool(((n >= MIN_TOKENS) & (hits >= SIMILARITY * (n + m - hits) - 1e-9)).any())
 
 
+def _hopeful(a: np.ndarray, at: np.ndarray, plain: np.ndarray, fewest: np.ndarray) -> np.ndarray:
+    """For many sequences at once, whether ``shared_stretches`` of a and each can find a passage at all.  ``at`` has the
+    places of a's tokens in each, or -1; ``plain`` are those without repeated tokens, ``fewest`` the least number of
+    different tokens in any LEAST_HITS places of each, which a passage has on its other side.
+
+    Without repeats, in order and near one diagonal, a passage spans the matches from one place to another on both sides,
+    so 18 hits >= 8 (n + m), a difference of two sums that each hang on one end.  Otherwise the different tokens of every
+    window of a, and those of them that match, are counted."""
+    hit, place = at >= 0, np.arange(at.shape[1])
+    before, far = _previous(a), 1 << 40
+    out, simple = np.ones(len(at), bool), np.zeros(len(at), bool)
+    if (before < 0).all():
+        reach, off = np.maximum.accumulate(at, axis=1), at - place
+        simple = plain & ~(hit[:, 1:] & (at[:, 1:] <= reach[:, :-1])).any(1)
+        simple &= np.where(hit, off, -far).max(1) - np.where(hit, off, far).min(1) <= MIN_TOKENS
+        score = 18 * np.cumsum(hit, axis=1) - 8 * (place + at)
+        last = np.maximum.accumulate(np.where(hit, score, -far)[:, ::-1], axis=1)[:, ::-1]
+        best = (last[:, MIN_TOKENS - 1 :] - np.where(hit, score - 18, far)[:, : 1 - MIN_TOKENS]).max(1)
+        out[simple] = best[simple] >= 16
+    start = np.arange(len(a) - MIN_TOKENS + 1)[:, None]
+    new = (before < start) & (place >= start)
+    n, long = np.cumsum(new, axis=1, dtype=np.int16), place >= start + MIN_TOKENS - 1
+    rest = np.flatnonzero(~simple)
+    for some in np.split(rest, range(64, len(rest), 64)):
+        hits = np.cumsum(new & hit[some, None], axis=2, dtype=np.int16)
+        least = 4 * np.minimum(fewest[some], MANY_TOKENS).astype(np.int16)[:, None, None]
+        out[some] = (long & (5 * hits >= 4 * n) & (9 * hits - 4 * n >= least)).any((1, 2))
+    return out
+
+
 def shared_stretches(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, float]]:
     """(start in a, end, start in b, end, similarity) of the passages that two token sequences share.
 
@@ -366,13 +398,21 @@ def _block_pairs(t: pa.Table) -> pa.Table:
         flat, owner = np.concatenate([codes[i] for i in left]), np.repeat(np.arange(len(left)), [len(codes[i]) for i in left])
         by_token = np.argsort(flat, kind="stable")
         holder, begin = owner[by_token], np.searchsorted(flat[by_token], np.arange(int(code.max()) + 2))
+        spot = np.concatenate([np.arange(len(codes[i])) for i in left])[by_token]
+        fewest_of: dict[int, int] = {}
+        plain = np.array([len(set(codes[i].tolist())) == len(codes[i]) for i in left])
+        for i, unrepeated in zip(left, plain):
+            if content[i] not in fewest_of:
+                fewest_of[content[i]] = MANY_TOKENS if len(codes[i]) < LEAST_HITS else LEAST_HITS if unrepeated else _fewest(codes[i], LEAST_HITS)
+        fewest = np.array([fewest_of[content[i]] for i in left])
         for q in np.flatnonzero(open_side):
             if len(codes[q]) < MIN_TOKENS:
                 continue
             own, back, times = np.unique(codes[q], return_inverse=True, return_counts=True)
             n = begin[own + 1] - begin[own]
             ends = np.cumsum(n)
-            held = holder[np.repeat(begin[own] - ends + n, n) + np.arange(int(ends[-1]))]
+            entry = np.repeat(begin[own] - ends + n, n) + np.arange(int(ends[-1]))
+            held = holder[entry]
             column = np.repeat(np.arange(len(own)), n)
             # a stretch takes as many hits at least, however often a member counts for one
             some = np.flatnonzero((np.bincount(held, times[column], len(left)) >= LEAST_HITS) & (tk[left] != tk[q]))
@@ -380,15 +420,18 @@ def _block_pairs(t: pa.Table) -> pa.Table:
                 continue
             row = np.full(len(left), -1)
             row[some] = np.arange(len(some))
-            hit = np.zeros((len(some), len(own)), bool)
+            at = np.full((len(some), len(own)), -1)
             on = row[held] >= 0
-            hit[row[held[on]], column[on]] = True
+            at[row[held[on]], column[on]] = spot[entry[on]]
+            hit = at >= 0
             score = np.concatenate([np.zeros((len(some), 1), int), np.cumsum(np.where(hit[:, back], 1, -LEAST_MATCHES), axis=1)], axis=1)
             after = np.maximum.accumulate(score[:, ::-1], axis=1)[:, ::-1]
             first = np.arange(min(place[q], len(codes[q]) - MIN_TOKENS) + 1)
             best = (after[:, np.maximum(first + MIN_TOKENS, place[q] + 1)] - score[:, first]).max(1)
             # the common tokens, each once, are 4 of 5 of those of the window with the fewest at least
             enough = np.flatnonzero((best >= 0) & (hit.sum(1) >= SIMILARITY * _fewest(codes[q]) - 1e-9))
+            if len(enough) > FEW:
+                enough = enough[_hopeful(codes[q], at[enough][:, back], plain[some[enough]], fewest[some[enough]])]
             enough = enough[np.argsort(-best[enough], kind="stable")]
             partner = next((p for p in left[some[enough]] if share(q, p)), None)
             if partner is not None:
