@@ -53,10 +53,15 @@ LEAST_MATCHES = 4
 LEAST_HITS = -(-LEAST_MATCHES * MIN_TOKENS // (LEAST_MATCHES + 1))
 #: Runs of matches up to which all pairs of them are looked at before tokens are compared.
 MOST_RUNS = 64
+#: More different tokens than any window around a seed has.
+NEVER = 2000
 #: Candidates up to which each is compared without a bound on what it can share.
 FEW = 2
-#: Tokens beyond which ties in a tree are broken by position.
-MANY_TOKENS = 2000
+#: Texts whose trees are built together.
+TOGETHER = 64
+#: An odd multiplier of places that spreads neighbours, and its inverse modulo 2^32.
+PLACE = np.uint64(0x9E3779B1)
+PLACE_BACK = np.uint64(pow(0x9E3779B1, -1, 1 << 32))
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -71,38 +76,58 @@ def text_key(text: str | None) -> int:
 
 def compact_windows(values: np.ndarray, least: int = MIN_TOKENS) -> list[tuple[int, int, int]]:
     """The nodes (l, c, r) of the Cartesian tree over ``values`` that span at least ``least`` positions.  Equal values may
-    stand in any order; in long sequences a hash of their places decides, so that repeated tokens make no chain."""
-    if len(values) > MANY_TOKENS:
-        rank = np.empty(len(values), np.int64)
-        rank[np.lexsort((mix64(np.arange(len(values), dtype=np.uint64)), values))] = np.arange(len(values))
-        values = rank
-    out, todo = [], [(0, len(values))] if len(values) >= least else []
-    while todo:
-        left, end = todo.pop()
-        c = left + int(values[left:end].argmin())
-        out.append((left, c, end - 1))
-        if c - left >= least:
-            todo.append((left, c))
-        if end - c > least:
-            todo.append((c + 1, end))
+    stand in any order; a hash of their places decides, so that repeated tokens make no chain."""
+    left, c, right = compact_windows_of(values, np.array([0, len(values)]), least)
+    return list(zip(left.tolist(), c.tolist(), right.tolist()))
+
+
+def _in_turn(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.empty(2 * len(a), np.int64)
+    out[::2], out[1::2] = a, b
     return out
 
 
+def compact_windows_of(values: np.ndarray, bounds: np.ndarray, least: int = MIN_TOKENS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``compact_windows`` of the sequences between ``bounds`` of ``values``, level by level for all of them: the minima
+    of one level are one pass, in which a word holds half a value and its place, multiplied by an odd number."""
+    low_half, half = np.uint64(0xFFFFFFFF), np.uint64(32)
+    place = (np.arange(len(values)) - np.repeat(bounds[:-1], np.diff(bounds))).astype(np.uint64)
+    packed = np.append(values >> half << half | (place * PLACE) & low_half, np.uint64(0))
+    start, left, end = bounds[:-1], bounds[:-1], bounds[1:]
+    levels = [(left[:0],) * 3]
+    while True:
+        wide = end - left >= least
+        start, left, end = start[wide], left[wide], end[wide]
+        if not len(left):
+            break
+        low = np.minimum.reduceat(packed, _in_turn(left, end))[::2]
+        c = (((low & low_half) * PLACE_BACK) & low_half).astype(np.int64) + start
+        levels.append((left, c, end - 1))
+        start, left, end = np.repeat(start, 2), _in_turn(left, c + 1), _in_turn(c, end)
+    return tuple(np.concatenate(x) for x in zip(*levels))
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         columns: list[list] = [[] for _ in range(5)]
-        for text in batch.column(1).to_pylist():
-            t = tokens(text)
-            rows = []
+        for at in range(0, batch.num_rows, TOGETHER):
+            texts = batch.column(1).slice(at, TOGETHER).to_pylist()
+            parts = [tokens(x) for x in texts]
+            size = np.array([len(x) for x in parts])
+            t, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum(size)])
+            found = []
             with np.errstate(over="ignore"):
-                for f in range(HASHES if len(t) >= MIN_TOKENS else 0):
-                    values = mix64(t + np.uint64(f + 1) * GOLDEN)
-                    rows += [(f, *w) for w in compact_windows(values)]
-                w = np.array(rows, np.int64).reshape(-1, 4)
-                keys = mix64(t[w[:, 2]] ^ mix64((w[:, 0] + 1).astype(np.uint64) * GOLDEN)).view(np.int64) if len(w) else np.empty(0, np.int64)
+                for f in range(HASHES):
+                    left, c, right = compact_windows_of(mix64(t + np.uint64(f + 1) * GOLDEN), bounds)
+                    found.append((left, c, right, mix64(t[c] ^ mix64(np.uint64(f + 1) * GOLDEN)).view(np.int64), np.full(len(c), f)))
+            left, c, right, key, f = (np.concatenate(x) for x in zip(*found))
+            owner = np.searchsorted(bounds, c, side="right") - 1
+            order, start = np.argsort(owner, kind="stable"), bounds[owner]
             # two positions a long: function and c, l and r
-            for column, x in zip(columns, (text_key(text), len(t) + SHINGLE - 1 if len(t) else 0, keys, w[:, 0] << 32 | w[:, 2], w[:, 1] << 32 | w[:, 3])):
-                column.append(x)
+            cuts = np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1]
+            listed = [np.split(x[order], cuts) for x in (key, f << 32 | c - start, left - start << 32 | right - start)]
+            for column, x in zip(columns, ([text_key(x) for x in texts], np.where(size > 0, size + SHINGLE - 1, 0).tolist(), *listed)):
+                column.extend(x)
         kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3]
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds)]], ["doc_id", "tk", "n_words", "key", "fc", "lr"])
 
@@ -291,7 +316,7 @@ def _hopeful(a: np.ndarray, at: np.ndarray, plain: np.ndarray, fewest: np.ndarra
     rest = np.flatnonzero(~simple)
     for some in np.split(rest, range(64, len(rest), 64)):
         hits = np.cumsum(new & hit[some, None], axis=2, dtype=np.int16)
-        least = 4 * np.minimum(fewest[some], MANY_TOKENS).astype(np.int16)[:, None, None]
+        least = 4 * fewest[some].astype(np.int16)[:, None, None]
         out[some] = (long & (5 * hits >= 4 * n) & (9 * hits - 4 * n >= least)).any((1, 2))
     return out
 
@@ -403,7 +428,7 @@ def _block_pairs(t: pa.Table) -> pa.Table:
         plain = np.array([len(set(codes[i].tolist())) == len(codes[i]) for i in left])
         for i, unrepeated in zip(left, plain):
             if content[i] not in fewest_of:
-                fewest_of[content[i]] = MANY_TOKENS if len(codes[i]) < LEAST_HITS else LEAST_HITS if unrepeated else _fewest(codes[i], LEAST_HITS)
+                fewest_of[content[i]] = NEVER if len(codes[i]) < LEAST_HITS else LEAST_HITS if unrepeated else _fewest(codes[i], LEAST_HITS)
         fewest = np.array([fewest_of[content[i]] for i in left])
         for q in np.flatnonzero(open_side):
             if len(codes[q]) < MIN_TOKENS:
