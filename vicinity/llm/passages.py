@@ -77,7 +77,8 @@ def text_key(text: str | None) -> int:
 def compact_windows(values: np.ndarray, least: int = MIN_TOKENS) -> list[tuple[int, int, int]]:
     """The nodes (l, c, r) of the Cartesian tree over ``values`` that span at least ``least`` positions.  Equal values may
     stand in any order; a hash of their places decides, so that repeated tokens make no chain."""
-    left, c, right = compact_windows_of(values, np.array([0, len(values)]), least)
+    rank = np.unique(values, return_inverse=True)[1].astype(np.uint64) << np.uint64(32)
+    left, c, right = compact_windows_of(rank, np.array([0, len(values)]), least)
     return list(zip(left.tolist(), c.tolist(), right.tolist()))
 
 
@@ -88,7 +89,7 @@ def _in_turn(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def compact_windows_of(values: np.ndarray, bounds: np.ndarray, least: int = MIN_TOKENS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``compact_windows`` of the sequences between ``bounds`` of ``values``, level by level for all of them: the minima
+    """``compact_windows`` of the sequences between ``bounds`` of 64-bit hashes ``values``, level by level for all of them: the minima
     of one level are one pass, in which a word holds half a value and its place, multiplied by an odd number."""
     low_half, half = np.uint64(0xFFFFFFFF), np.uint64(32)
     place = (np.arange(len(values)) - np.repeat(bounds[:-1], np.diff(bounds))).astype(np.uint64)
