@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from vicinity.llm import decontaminate, passages
@@ -358,3 +359,24 @@ def test_rounds_part_tokens_and_keep_their_places():
     batch = passages.pa.RecordBatch.from_pydict({"tk": list(range(5)), "s": [10 * i for i in range(5)], "tokens": passages.pa.array([x.tobytes() for x in parts], passages.pa.binary())})
     got = [tuple(x.values()) for turn in range(passages.ROUNDS) for b in passages._token_places(turn, iter([batch])) for x in b.to_pylist()]
     assert sorted(got) == sorted((i, 10 * i, p, int(x)) for i, part in enumerate(parts) for p, x in enumerate(part.view(np.int64)))
+
+
+def test_values_of_two_texts_are_told_apart_in_workers(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    hot = r.integers(0, 2**64, 3, np.uint64)
+    lists = [[int(v) for v in np.concatenate([hot, r.integers(0, 2**64, 40, np.uint64)[: i % 40]])] for i in range(300)]
+    lists = [x + (x[-1:] if i % 3 else lists[i // 2][-2:]) for i, x in enumerate(lists)] + [[], [2**64 - 1, 0], [0, 2**64 - 1, 7, 7]]
+    rows = [(i - 150, [v - 2**64 if v >= 2**63 else v for v in x]) for i, x in enumerate(lists)]
+    texts = {}
+    for tk, x in rows:
+        for v in x:
+            texts.setdefault(v, set()).add(tk)
+    want = sorted(v for v, of in texts.items() if len(of) > 1)
+    df = spark.createDataFrame(rows, "tk long, key array<long>")
+    for n in (0, 10**9):
+        got = passages.in_two_texts(df, passages._keys, "key", n)
+        assert got.columns == ["key"] and sorted(x["key"] for x in got.collect()) == want
+    # a value that all rows have travels once for each batch of values
+    batch = pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows]), pa.array([x for _, x in rows], pa.list_(pa.int64()))], ["tk", "key"])
+    packed = pa.Table.from_batches(passages._gathered(passages._keys, 8, iter([batch])))
+    assert packed.num_rows == 8 and sum(len(x) for x in packed.column("value").to_pylist()) == 8 * len(texts)

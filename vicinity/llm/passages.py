@@ -25,7 +25,7 @@ are one passage each; rows with a null id take part and are returned; repeated r
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial, reduce
 
 import numpy as np
@@ -48,6 +48,8 @@ BLOCK = 512
 SALTS = 32
 #: Rounds in which tokens meet, by their hash, and segments meet what was found, by their text: shuffle files go after each.
 ROUNDS = 3
+#: Values that are gathered in a worker before they are told apart, and how many meet in one group.
+GATHERED, MEETING = 1 << 18, 1 << 19
 #: A stretch goes on while unmatched tokens are at most one to MATCHES matched ones: two stretches of equal length with
 #: 8 of 9 tokens in common have similarity 0.8.
 MATCHES = 8
@@ -218,6 +220,67 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out)], ["tk", "s", "e", "key", "c"])
 
 
+def _of_round(turn: int, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (tk, tokens) to the tokens of a round and the text of each."""
+    parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+    token = np.concatenate([np.empty(0, np.uint64), *parts])
+    mine = token % np.uint64(ROUNDS) == turn
+    return token[mine], np.repeat(batch.column(0).to_numpy(), [len(x) for x in parts])[mine]
+
+
+def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (tk, array of keys) to the keys and the text of each."""
+    listed = batch.column(1)
+    return listed.flatten().to_numpy().view(np.uint64), np.repeat(batch.column(0).to_numpy(), listed.value_lengths().to_numpy())
+
+
+def _sorted_out(value: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each value once, in order, with the least of its ``low`` and the greatest of its ``high``."""
+    order = np.argsort(value)
+    value = value[order]
+    first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+    return value[first], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
+
+
+def _gathered(values_of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], groups: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Many values as one row for each range of them, a value once with the smallest and the largest text that has it: so
+    one that all texts have travels once for each GATHERED values."""
+    edges = np.array([(g << 32) // groups for g in range(groups + 1)], np.uint64)
+
+    def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        value, tk = (np.concatenate(x) for x in zip(*held))
+        columns = _sorted_out(value, tk, tk)
+        # by the upper half of a value: ranges of equal size, in the values' order
+        bounds = np.searchsorted(columns[0] >> np.uint64(32), edges)
+        full = np.flatnonzero(np.diff(bounds))
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *[pa.array([x[bounds[g] : bounds[g + 1]].tobytes() for g in full], pa.binary()) for x in columns]], ["range", "value", "low", "high"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(values_of(batch))
+        n += len(held[-1][0])
+        if n >= GATHERED:
+            yield packed(held)
+            held, n = [], 0
+    if n:
+        yield packed(held)
+
+
+def _in_two_texts(_: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    """The values of a range that more than one text has."""
+    value, low, high = (np.frombuffer(b"".join(t.column(c).to_pylist()), kind) for c, kind in (("value", np.uint64), ("low", np.int64), ("high", np.int64)))
+    value, low, high = _sorted_out(value, low, high)
+    return pa.table({"value": pa.array(value[low != high].view(np.int64))})
+
+
+def in_two_texts(df: DataFrame, values_of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], name: str, n: int) -> DataFrame:
+    """The values (uniform 64-bit hashes, about ``n``, of which ``values_of`` gets those of a batch) that more than one
+    text has.  Workers tell them apart by sorting, so that only those that are shared become rows."""
+    groups = max(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // MEETING))
+    packed = map_arrow(df, partial(_gathered, values_of, groups), "range int, value binary, low binary, high binary")
+    return packed.groupBy("range").applyInArrow(_in_two_texts, "value long").withColumnRenamed("value", name)
+
+
 def _token_places(turn: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The tokens of a round, with their places in their segments."""
     for batch in batches:
@@ -609,8 +672,8 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     brief = cut(index.select("doc_id", "tk", "n_words"), "documents")
     texts = cut(brief.where(F.col("n_words") >= MIN_WORDS).groupBy("tk").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n_words").alias("n_words")), "texts")
     stored, index = index, one_of_each(index, texts)
-    shared = index.select(F.explode("key").alias("key"), "tk").groupBy("key").agg(F.min("tk").alias("low"), F.max("tk").alias("high")).where("low <> high").select("key")
-    shared = cut(shared, "shared-keys")
+    n_words = brief.agg(F.sum("n_words")).first()[0] or 0
+    shared = cut(in_two_texts(index.select("tk", "key"), _keys, "key", 2 * HASHES * n_words // MIN_TOKENS), "shared-keys")
     each = index.select("tk", F.explode(F.arrays_zip("key", "fc", "lr")).alias("w")).select("w.key", "tk", "w.fc", "w.lr")
     # no distinct on top: it would take over the join's partitioning, and a hot key could not be split
     hits = cut(each.join(shared.hint("shuffle_hash"), "key", "left_semi"), "shared-windows")
@@ -629,7 +692,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # A passage consists of tokens that another text has, 8 of 9: a line that many share does not make one.
     def shared_places(turn: int) -> DataFrame:
         places = map_arrow(wide.select("tk", "s", "tokens"), partial(_token_places, turn), "tk long, s long, place int, token long")
-        known = cut(places.groupBy("token").agg(F.min("tk").alias("low"), F.max("tk").alias("high")).where("low <> high").select("token"), "shared-tokens")
+        known = cut(in_two_texts(wide.select("tk", "tokens"), partial(_of_round, turn), "token", n_words // ROUNDS), "shared-tokens")
         found = cut(places.join(known.hint("shuffle_hash"), "token", "left_semi").groupBy("tk", "s").agg(F.collect_list("place").alias("places")), "shared-places")
         discard(known)
         return found
