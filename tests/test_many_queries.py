@@ -34,6 +34,7 @@ def oracle(many, name):
 
 ASKED_BY_MANY = [
     "a13_recall",
+    "a16_label_vote",
 ]
 
 
