@@ -35,6 +35,7 @@ def oracle(many, name):
 ASKED_BY_MANY = [
     "a13_recall",
     "a16_label_vote",
+    "a8_measure_report",
 ]
 
 
