@@ -36,6 +36,7 @@ ASKED_BY_MANY = [
     "a13_recall",
     "a16_label_vote",
     "a8_measure_report",
+    "s11_result_text",
 ]
 
 
