@@ -37,6 +37,7 @@ ASKED_BY_MANY = [
     "a16_label_vote",
     "a8_measure_report",
     "s11_result_text",
+    "s14_result_readers",
 ]
 
 
