@@ -38,6 +38,7 @@ ASKED_BY_MANY = [
     "a8_measure_report",
     "s11_result_text",
     "s14_result_readers",
+    "a14_recall_of_lists",
 ]
 
 
