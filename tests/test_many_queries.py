@@ -39,6 +39,7 @@ ASKED_BY_MANY = [
     "s11_result_text",
     "s14_result_readers",
     "a14_recall_of_lists",
+    "a17_mean_similarity_at_rank",
 ]
 
 
