@@ -40,6 +40,7 @@ ASKED_BY_MANY = [
     "s14_result_readers",
     "a14_recall_of_lists",
     "a17_mean_similarity_at_rank",
+    "s12_result_text_roundtrip",
 ]
 
 
