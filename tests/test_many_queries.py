@@ -41,6 +41,7 @@ ASKED_BY_MANY = [
     "a14_recall_of_lists",
     "a17_mean_similarity_at_rank",
     "s12_result_text_roundtrip",
+    "s15_dump_labels",
 ]
 
 
