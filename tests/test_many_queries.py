@@ -42,6 +42,7 @@ ASKED_BY_MANY = [
     "a17_mean_similarity_at_rank",
     "s12_result_text_roundtrip",
     "s15_dump_labels",
+    "a15_label_accuracy",
 ]
 
 
