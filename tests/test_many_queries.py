@@ -43,6 +43,7 @@ ASKED_BY_MANY = [
     "s12_result_text_roundtrip",
     "s15_dump_labels",
     "a15_label_accuracy",
+    "a19_nearest_label_agreement",
 ]
 
 
