@@ -44,6 +44,7 @@ ASKED_BY_MANY = [
     "s15_dump_labels",
     "a15_label_accuracy",
     "a19_nearest_label_agreement",
+    "j5_names",
 ]
 
 
