@@ -45,6 +45,7 @@ ASKED_BY_MANY = [
     "a15_label_accuracy",
     "a19_nearest_label_agreement",
     "j5_names",
+    "k9_intersection",
 ]
 
 
