@@ -46,6 +46,7 @@ ASKED_BY_MANY = [
     "a19_nearest_label_agreement",
     "j5_names",
     "k9_intersection",
+    "s13_result_builder",
 ]
 
 
