@@ -1,6 +1,8 @@
 """Queries of which more ask than the expression forms of search send to a task, against their SQL; some vectors are
 equal, so that ties go by row id."""
 
+import re
+
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -55,3 +57,21 @@ def test_more_queries_than_a_broadcast_takes(spark, many, name):
     df = registry.QUERIES[name](spark, many)
     rows, out = df.collect(), oracle(many, name)
     assert rows and compare.canonical(rows, df.columns) == compare.canonical(out.fetchall(), [d[0] for d in out.description])
+
+
+def test_stored_vectors_are_scored_without_a_shuffle_of_pairs(spark, many):
+    df = registry.QUERIES["v24_bf16_search"](spark, many)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # the join with the queries comes last: no join follows that would shuffle pairs with their vectors
+    assert re.search(r"\w+Join", plan)[0] == "BroadcastNestedLoopJoin"
+    assert compare.canonical(df.collect(), df.columns) == compare.canonical(oracle(many, "v24_bf16_search").fetchall(), ["query_id", "close"])
+
+
+def test_largest_errors_by_hand(spark):
+    r = np.random.default_rng(3)
+    x, q = r.normal(size=(70, 8)), r.normal(size=(5, 8))
+    y = x + 0.01 * r.normal(size=x.shape)
+    df = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, y))], "row_id long, vec array<double>, stored array<double>")
+    got = exact.largest_errors(df.repartition(3), spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, vec array<double>")).collect()
+    want = [max(abs(((v - a) ** 2).sum() - ((v - b) ** 2).sum()) / 2 for a, b in zip(x, y)) for v in q]
+    assert {g["query_id"]: g["error"] for g in got} == pytest.approx(dict(enumerate(want)))
