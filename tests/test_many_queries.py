@@ -49,6 +49,7 @@ ASKED_BY_MANY = [
     "j5_names",
     "k9_intersection",
     "s13_result_builder",
+    "k2_signature_topk",
 ]
 
 
