@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import compare
 from vicinity.operators import exact
@@ -76,3 +77,26 @@ def test_largest_errors_by_hand(spark):
     got = exact.largest_errors(df.repartition(3), spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, vec array<double>")).collect()
     want = [max(abs(((v - a) ** 2).sum() - ((v - b) ** 2).sum()) / 2 for a, b in zip(x, y)) for v in q]
     assert {g["query_id"]: g["error"] for g in got} == pytest.approx(dict(enumerate(want)))
+
+
+def test_all_items_of_many_queries_are_ranked(spark, many, tmp_path):
+    registry.QUERIES["f15_rescore"](spark, many).write.parquet(str(tmp_path / "got"))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{many}/embeddings.parquet'")
+    con.execute(f"create table want as {registry.ORACLES['f15_rescore']}")
+    con.execute(f"create view got as select * from '{tmp_path}/got/*.parquet'")
+    far = con.execute("select count(*), count(g.rank), count(*) filter (w.row_id <> g.row_id or abs(w.cosine - g.cosine) > 1.5e-6) from want w full join got g using (query_id, rank)").fetchone()
+    assert far == (ROWS**2, ROWS**2, 0)
+
+
+def test_rank_all_is_rescore_of_all_pairs(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(90, 8))
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    x[80:] = x[:10]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, vec array<double>").repartition(3)
+    q = df.where("row_id % 2 = 0").select(F.col("row_id").alias("query_id"), "vec")
+    key = lambda f: sorted((a["query_id"], a["rank"], a["row_id"], round(a["cosine"], 9)) for a in f.collect())
+    want = key(exact.rescore(df.select("row_id").crossJoin(q.select("query_id")), df, q))
+    assert len(want) == 45 * 90 and key(exact.rank_all(df, q, block=7)) == want and key(exact.rank_all(df, q, block=7, most_batches=0)) == want
+    assert exact.rank_all(df, q.limit(0)).count() == 0 and exact.rank_all(df.limit(0), q).count() == 0
