@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import compare
-from vicinity.operators import exact
+from vicinity.operators import exact, forest, index
 from vicinity.plans import registry
 
 ROWS = exact.MOST_BROADCAST + 64
@@ -100,3 +100,18 @@ def test_rank_all_is_rescore_of_all_pairs(spark):
     want = key(exact.rescore(df.select("row_id").crossJoin(q.select("query_id")), df, q))
     assert len(want) == 45 * 90 and key(exact.rank_all(df, q, block=7)) == want and key(exact.rank_all(df, q, block=7, most_batches=0)) == want
     assert exact.rank_all(df, q.limit(0)).count() == 0 and exact.rank_all(df.limit(0), q).count() == 0
+
+
+#: Queries over the trees of several shards.
+SHARDED = [
+    "f7_packed_trees",
+]
+
+
+@pytest.mark.parametrize("name", SHARDED)
+def test_several_shards(spark, many, monkeypatch, name):
+    whole = index.IndexConf
+    monkeypatch.setattr(index, "IndexConf", lambda *a, **conf: whole(*a, **({} if a else {"forest": forest.ForestConf(shard_rows=1000)}) | conf))
+    df = registry.QUERIES[name](spark, many)
+    out = oracle(many, name)
+    assert compare.canonical(df.collect(), df.columns) == compare.canonical(out.fetchall(), [d[0] for d in out.description])
