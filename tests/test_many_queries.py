@@ -105,6 +105,7 @@ def test_rank_all_is_rescore_of_all_pairs(spark):
 #: Queries over the trees of several shards.
 SHARDED = [
     "f7_packed_trees",
+    "s6_index_tables",
 ]
 
 
