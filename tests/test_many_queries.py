@@ -116,3 +116,20 @@ def test_several_shards(spark, many, monkeypatch, name):
     df = registry.QUERIES[name](spark, many)
     out = oracle(many, name)
     assert compare.canonical(df.collect(), df.columns) == compare.canonical(out.fetchall(), [d[0] for d in out.description])
+
+
+@pytest.fixture(scope="module")
+def wide(tmp_path_factory):
+    """A folder with a table embeddings of which 300 points are a small share."""
+    at = tmp_path_factory.mktemp("wide")
+    r = np.random.default_rng(6)
+    x = r.normal(size=(12_000, 64)).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32())), "label": pa.array(r.integers(0, 10, len(x)), pa.int32())}), at / "embeddings.parquet")
+    return str(at)
+
+
+@pytest.mark.parametrize("name", ["f19_compare_with_bruteforce"])
+def test_recall_holds_as_items_grow(spark, wide, name):
+    df = registry.QUERIES[name](spark, wide)
+    out = oracle(wide, name)
+    assert compare.canonical(df.collect(), df.columns) == compare.canonical(out.fetchall(), [d[0] for d in out.description])

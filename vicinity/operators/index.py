@@ -29,6 +29,9 @@ TABLES = ("items", "shards")
 #: raised with k.
 REQUIRED_POINTS = 300
 CANDIDATES = 200
+#: Where a search does not say how many points it requires, its queries visit one in so many of a shard's, if that is
+#: more: a fixed number would be an ever smaller share of the items, and recall would fall as they grow.
+VISITED_SHARE = 10
 #: Queries in a block, at most, and blocks that meet a shard in one task.
 BLOCK = 256
 BLOCKS_PER_TASK = 64
@@ -204,13 +207,15 @@ class Index:
         left, packed = (df.repartition(parts, "shard", "salt").groupBy("shard", "salt") for df in (left, packed))
         return left.cogroup(packed).applyInArrow(run, schema)
 
-    def _leaves_of(self, required: int, greedy: bool) -> Callable:
-        """For a shard and a matrix of queries: per tree, the (query, leaf) pairs that are visited."""
+    def _leaves_of(self, required: int, greedy: bool, one_in: int | None = None) -> Callable:
+        """For a shard and a matrix of queries: per tree, the (query, leaf) pairs that are visited, which hold at least one
+        in ``one_in`` of the shard's points if that is given."""
         vt, conf = self.vt, self.conf.forest
-        share = -(-required // self.shards)
+        least = -(-required // self.shards)
 
         def run(shard: Shard, q: np.ndarray):
             y = q @ vt.T
+            share = max(least, -(-len(shard.vectors) // one_in)) if one_in else least
             for i, tree in enumerate(shard.trees):
                 yield i, tree, *forest.take_leaves(tree, kernels.rotate(y, kernels.rotation_signs(len(vt), i, conf.seed)), share, greedy)
 
@@ -231,8 +236,9 @@ class Index:
         """For a shard and a matrix of queries: per query, the positions left after pruning, with their votes.  A shard
         whose visited leaves hold too few points for k is taken as a whole."""
         keep = max(keep or CANDIDATES, k)
+        one_in = None if greedy or required else VISITED_SHARE
         required = 1 if greedy else max(required or REQUIRED_POINTS, 2 * k)
-        visit, signs = self._leaves_of(required, greedy), self.signs
+        visit, signs = self._leaves_of(required, greedy, one_in), self.signs
         # a shard's share of the candidates, with room for chance: no result may hang on how items were dealt
         share = min(keep, -(-keep // self.shards) + int(4 * (keep / self.shards) ** 0.5) if self.shards > 1 else keep)
 
