@@ -128,7 +128,7 @@ def wide(tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["f19_compare_with_bruteforce"])
+@pytest.mark.parametrize("name", ["f19_compare_with_bruteforce", "f19_compare_storages"])
 def test_recall_holds_as_items_grow(spark, wide, name):
     df = registry.QUERIES[name](spark, wide)
     out = oracle(wide, name)
