@@ -133,3 +133,25 @@ def test_recall_holds_as_items_grow(spark, wide, name):
     df = registry.QUERIES[name](spark, wide)
     out = oracle(wide, name)
     assert compare.canonical(df.collect(), df.columns) == compare.canonical(out.fetchall(), [d[0] for d in out.description])
+
+
+def close_together(groups=3, size=400, dim=32):
+    r = np.random.default_rng(8)
+    x = np.repeat(r.normal(size=(groups, dim)), size, axis=0) + 0.02 * r.normal(size=(groups * size, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("strategy", ["data"])
+def test_points_that_lie_close_together_are_split(strategy):
+    conf = forest.ForestConf(strategy=strategy)
+    for dim in (32, 8):
+        x = close_together(dim=dim)
+        for seed in range(5):
+            tree = forest.build_tree(x, (seed, 1), conf)
+            assert sorted(tree.members.tolist()) == list(range(len(x))) and 0 < min(tree.leaf_counts) and max(tree.leaf_counts) < conf.leaf_bound
+            query, leaf = forest.take_leaves(tree, x, 1)
+            assert query.tolist() == list(range(len(x))) and all(i in tree.leaf(j) for i, j in zip(query, leaf))
+            assert strategy == "data" or (np.diff(tree.coords, axis=1) > 0).all()
+    # equal points, of which there are two kinds, end in two leaves
+    two = np.repeat(x[[0, 1]], 80, axis=0)
+    assert sorted(forest.build_tree(two, (1,), conf).leaf_counts.tolist()) == [80, 80]

@@ -82,6 +82,58 @@ def two_way(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return (x @ w >= 0).astype(int)
 
 
+def _between(z: np.ndarray, key: tuple) -> tuple[int, int, float, float] | None:
+    """(i, j, a, b): the sign of a x_i + b x_j is not the same for all rows x of z, and about half of them have either;
+    None if no row is found that points another way than a random one."""
+    one = z[kernels.rng(*key, "between").integers(len(z))]
+    length = np.sqrt((z * z).sum(1))
+    other = z[np.argmin(np.where(length > 0, z @ one / np.where(length > 0, length, 1), np.inf))]
+    cross = np.abs(np.outer(one, other) - np.outer(other, one))
+    i, j = np.sort(np.unravel_index(cross.argmax(), cross.shape)).tolist()
+    angle = np.sort(np.arctan2(z[:, j], z[:, i]))
+    gaps = np.flatnonzero(np.diff(angle) > 1e-6)
+    if i == j or not len(gaps):
+        return None
+    at = gaps[np.abs(gaps + 1 - len(z) / 2).argmin()]
+    middle = (angle[at] + angle[at + 1]) / 2
+    return i, j, -float(np.sin(middle)), float(np.cos(middle))
+
+
+def data_between(x: np.ndarray, rows: np.ndarray, key: tuple) -> tuple | None:
+    """A split that tells rows apart which all have the same side of sampled directions."""
+    if (found := _between(x[rows], key)) is None:
+        return None
+    i, j, a, b = found
+    w = np.zeros(x.shape[1])
+    w[[i, j]] = a, b
+    return w, np.arange(x.shape[1]), two_way(x[rows], w)
+
+
+def hadamard_between(x: np.ndarray, rows: np.ndarray, key: tuple) -> tuple | None:
+    """The same for rows whose largest output is the same on random coordinates.  Of four coordinates on the first or the
+    last four places, two that are large make two of the outputs large, and the sign of the form in the other two says
+    which is the larger one."""
+    z, dim, half = x[rows], x.shape[1], kernels.SPLIT // 2
+    for first, others in ((0, np.arange(dim - half, dim)), (half, np.arange(half))):
+        part = z[:, first : first + dim - half]
+        if (found := _between(part, key)) is None:
+            continue
+        i, j, a, b = found
+        level = np.median(part, axis=0)
+        large = [c for c in np.argsort(-np.abs(part).min(0), kind="stable").tolist() if c not in (i, j)][:2]
+        if (level[large] == 0).any():
+            continue
+        scale = 4 * float((np.abs(a * part[:, i]) + np.abs(b * part[:, j])).max())
+        weight = {i: a / scale, j: b / scale, **{c: 1 / level[c] for c in large}}
+        coords = np.sort(np.concatenate([np.array(sorted(weight)) + first, others]))
+        signs = np.array([weight.get(c - first, 0.0) if c not in others else 0.0 for c in coords.tolist()])
+        at = kernels.slots(kernels.split_outputs(z, coords, signs))
+        if (at != at[0]).any():
+            return signs, coords, at
+    return None
+
+
+BETWEEN = {"hadamard": hadamard_between, "data": data_between}
 SPLITS = {"hadamard": (hadamard_split, kernels.SLOTS), "data": (data_split, 2)}
 
 
@@ -95,9 +147,11 @@ def build_tree(x: np.ndarray, key: tuple, conf: ForestConf) -> Tree:
         rows, path, parent, slot = todo.pop()
         place = None
         if len(rows) >= conf.leaf_bound and (conf.max_depth is None or len(path) < conf.max_depth):
-            for retry in range(RETRIES):
-                p, c, at = split(x, rows, (*key, path, retry))
-                if (at != at[0]).any():
+            for retry in range(RETRIES + 1):
+                # rows that lie close together stay together in random splits; what differs among them tells them apart
+                made = split(x, rows, (*key, path, retry)) if retry < RETRIES else BETWEEN[conf.strategy](x, rows, (*key, path))
+                if made is not None and (made[2] != made[2][0]).any():
+                    p, c, at = made
                     place = len(projections)
                     projections.append(p)
                     coords.append(c)
