@@ -141,7 +141,7 @@ def close_together(groups=3, size=400, dim=32):
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-@pytest.mark.parametrize("strategy", ["data"])
+@pytest.mark.parametrize("strategy", ["data", "hadamard"])
 def test_points_that_lie_close_together_are_split(strategy):
     conf = forest.ForestConf(strategy=strategy)
     for dim in (32, 8):
