@@ -51,6 +51,7 @@ ASKED_BY_MANY = [
     "k9_intersection",
     "s13_result_builder",
     "k2_signature_topk",
+    "k1_bruteforce_topk_native",
 ]
 
 
@@ -155,3 +156,14 @@ def test_points_that_lie_close_together_are_split(strategy):
     # equal points, of which there are two kinds, end in two leaves
     two = np.repeat(x[[0, 1]], 80, axis=0)
     assert sorted(forest.build_tree(two, (1,), conf).leaf_counts.tolist()) == [80, 80]
+
+
+def test_top_k_native_with_few_items(spark):
+    x = np.random.default_rng(9).normal(size=(40, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, vec array<double>")
+    q = df.where("row_id < 5").select(F.col("row_id").alias("query_id"), "vec")
+    key = lambda f: sorted((a["query_id"], a["rank"], a["row_id"]) for a in f.collect())
+    for k in (1, 7, 100):
+        for share in (1, 16):
+            assert key(exact.top_k_native(df, q, k, share)) == key(exact.brute_force(df, q, k))
+    assert exact.top_k_native(df.limit(0), q, 3).count() == 0 and exact.top_k_native(df, q.limit(0), 3).count() == 0
