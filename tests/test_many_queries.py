@@ -167,3 +167,21 @@ def test_top_k_native_with_few_items(spark):
         for share in (1, 16):
             assert key(exact.top_k_native(df, q, k, share)) == key(exact.brute_force(df, q, k))
     assert exact.top_k_native(df.limit(0), q, 3).count() == 0 and exact.top_k_native(df, q.limit(0), 3).count() == 0
+
+
+@pytest.fixture(scope="module")
+def near(tmp_path_factory):
+    """A folder with a table embeddings, a part of which are copies of one vector but for the last digits."""
+    at = tmp_path_factory.mktemp("near")
+    r = np.random.default_rng(7)
+    x = r.normal(size=(2000, 64))
+    x[:600] = x[0] * (1 + 1e-6 * r.normal(size=(600, 64)))
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x.astype(np.float32)), pa.list_(pa.float32())), "label": pa.array(r.integers(0, 10, len(x)), pa.int32())}), at / "embeddings.parquet")
+    return str(at)
+
+
+@pytest.mark.parametrize("name", ["f1_forest_leaves", "f5_data_informed_forest", "f10_visited_leaves"])
+def test_near_copies_are_split_and_find_themselves(spark, near, name):
+    df = registry.QUERIES[name](spark, near)
+    out = oracle(near, name)
+    assert compare.canonical(df.collect(), df.columns) == compare.canonical(out.fetchall(), [d[0] for d in out.description])

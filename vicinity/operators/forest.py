@@ -15,6 +15,8 @@ from vicinity.functions import kernels
 
 LEAF_BOUND = 50
 RETRIES = 10
+#: Angles that differ by no more are one: products of the same rows may be off by some 1e-15 where a query takes its path.
+CLOSE = 1e-10
 NONE = -1
 NOWHERE = np.float32(-np.inf)
 
@@ -91,7 +93,7 @@ def _between(z: np.ndarray, key: tuple) -> tuple[int, int, float, float] | None:
     cross = np.abs(np.outer(one, other) - np.outer(other, one))
     i, j = np.sort(np.unravel_index(cross.argmax(), cross.shape)).tolist()
     angle = np.sort(np.arctan2(z[:, j], z[:, i]))
-    gaps = np.flatnonzero(np.diff(angle) > 1e-6)
+    gaps = np.flatnonzero(np.diff(angle) > CLOSE)
     if i == j or not len(gaps):
         return None
     at = gaps[np.abs(gaps + 1 - len(z) / 2).argmin()]
