@@ -185,3 +185,14 @@ def test_near_copies_are_split_and_find_themselves(spark, near, name):
     df = registry.QUERIES[name](spark, near)
     out = oracle(near, name)
     assert compare.canonical(df.collect(), df.columns) == compare.canonical(out.fetchall(), [d[0] for d in out.description])
+
+
+def test_nearest_labels_are_compared_for_all_items(spark, wide):
+    t = pq.read_table(f"{wide}/embeddings.parquet")
+    x, label = np.stack(t.column("embedding").to_pylist()).astype(float), t.column("label").to_numpy()
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = x @ x.T
+    np.fill_diagonal(score, -2)
+    agree = int((label[score.argmax(1)] == label).sum())
+    got = {r["agree"]: r["n"] for r in registry.QUERIES["a19_nearest_label_agreement"](spark, wide).collect()}
+    assert got == {True: agree, False: len(x) - agree}
