@@ -196,3 +196,14 @@ def test_nearest_labels_are_compared_for_all_items(spark, wide):
     agree = int((label[score.argmax(1)] == label).sum())
     got = {r["agree"]: r["n"] for r in registry.QUERIES["a19_nearest_label_agreement"](spark, wide).collect()}
     assert got == {True: agree, False: len(x) - agree}
+
+
+def test_blocks_of_queries_beyond_a_broadcast_go_in_parts(spark):
+    x = np.random.default_rng(12).normal(size=(90, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, vec array<double>").repartition(5)
+    q = df.select(F.col("row_id").alias("query_id"), "vec")
+    key = lambda f: sorted((a["query_id"], a["rank"], a["row_id"]) for a in f.collect())
+    got = exact.brute_force(df, q, 3, most_blocks=2)
+    # no block of queries is copied to groups of items
+    assert "salt" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert key(got) == key(exact.brute_force(df, q, 3)) and len(key(got)) == 270
