@@ -207,3 +207,27 @@ def test_blocks_of_queries_beyond_a_broadcast_go_in_parts(spark):
     # no block of queries is copied to groups of items
     assert "salt" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert key(got) == key(exact.brute_force(df, q, 3)) and len(key(got)) == 270
+
+
+def test_storages_rank_near_copies_as_doubles_do(spark, tmp_path):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(2000, 64))
+    for g in r.permutation(2000).reshape(100, 20):
+        x[g] = x[g[0]] / np.linalg.norm(x[g[0]]) + 0.001 / 8 * r.normal(size=(20, 64))
+    columns = {"vec_id": np.arange(len(x)), "embedding": pa.array(list(x.astype(np.float32)), pa.list_(pa.float32())), "label": pa.array(r.integers(0, 10, len(x)), pa.int32())}
+    pq.write_table(pa.table(columns), tmp_path / "embeddings.parquet")
+    df = registry.QUERIES["f19_compare_storages"](spark, str(tmp_path))
+    out = oracle(str(tmp_path), "f19_compare_storages")
+    assert compare.canonical(df.collect(), df.columns) == compare.canonical(out.fetchall(), [d[0] for d in out.description])
+
+
+@pytest.mark.parametrize("storage", ["float", "bf16", "byte"])
+def test_storage_is_off_by_no_more_than_its_bound(storage):
+    from vicinity.functions import kernels
+
+    x = np.random.default_rng(2).normal(size=(500, 64)) * np.random.default_rng(1).choice([1, 1e-3], (500, 64))
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    y = kernels.decode_vectors(kernels.encode_vectors(x, storage), 64, storage)
+    assert (np.linalg.norm(x - y, axis=1) <= kernels.storage_errors(y, storage)).all()
+    for q in x[:20]:
+        assert set(np.argsort(-(x @ q), kind="stable")[:5]) <= set(kernels.may_be_best(y, q, 5, storage).tolist())

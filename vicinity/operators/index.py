@@ -272,19 +272,26 @@ class Index:
 
     def search(self, queries: DataFrame, k: int, required: int | None = None, keep: int | None = None, progressive: bool = True, greedy: bool = False) -> DataFrame:
         """(query_id, rank, row_id, cosine): approximate, or exact if there are no trees.  A query that is an item finds
-        itself first.  k rows come back while the index has them; ``greedy`` takes one leaf a tree and may find fewer."""
+        itself first.  k rows come back while the index has them; ``greedy`` takes one leaf a tree and may find fewer.
+
+        Where vectors are not stored as doubles, shards give all candidates that may be among the k best by what storage
+        is off at most, and the vectors of the items rank those: near copies are closer together than storage can tell."""
         exact._check_k(k)
         if self.conf.trees == 0:
             return self.brute_force(queries, k)
         prune = self._candidates_of(k, required, keep, progressive, greedy)
-        exactly = self.conf.storage == "double"
+        storage = self.conf.storage
+        exactly = storage == "double"
 
         def each(number: int, shard: Shard, ids: pa.Array, q: np.ndarray) -> pa.Table:
             query, rows, cosine = [], [], []
             order_ids = shard.ids.to_numpy(zero_copy_only=False)
             for i, (found, _) in enumerate(prune(shard, q)):
                 score = kernels.scores(shard.vectors[found], q[i], exactly)
-                if len(found) > k:
+                if not exactly:
+                    best = kernels.may_be_best(shard.vectors[found], q[i], k, storage)
+                    found, score = found[best], score[best]
+                elif len(found) > k:
                     edge = np.partition(score, len(score) - k)[len(score) - k]
                     found, score = found[score >= edge], score[score >= edge]  # ties at the cut are settled by row id
                     best = np.lexsort((order_ids[found], -score))[:k]
@@ -294,7 +301,9 @@ class Index:
                 cosine.append(score)
             return pa.table({"query_id": ids.take(pa.array(np.concatenate(query))), "row_id": shard.ids.take(pa.array(np.concatenate(rows))), "cosine": np.concatenate(cosine)})
 
-        return exact.rank_within(self._probe(self.queries(queries), each, f"query_id {_id_kind(queries)}, row_id {self._kind}, cosine double"), k)
+        queries = self.queries(queries)
+        scored = self._probe(queries, each, f"query_id {_id_kind(queries)}, row_id {self._kind}, cosine double")
+        return exact.rank_within(scored, k) if exactly else exact.rescore(scored, self.items.select("row_id", F.col("vec").cast("array<double>").alias("vec")), queries, k)
 
     def search_all(self, k: int, **options) -> DataFrame:
         """The neighbours of every item."""
